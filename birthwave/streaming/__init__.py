@@ -1,0 +1 @@
+"""The analysis this engine covers is batch only, so no stream operator is offered."""
