@@ -92,7 +92,7 @@ def two_factor_effects(df: DataFrame, y: str, first: str, second: str) -> DataFr
              "estimate": beta[1:], "se": np.sqrt(np.diag(cov))[1:], "dof": float(dof)}
         )
 
-    fitted = cells.groupBy(F.lit(1)).applyInPandas(
+    fitted = cells.groupBy().applyInPandas(
         fit, "factor string, level bigint, estimate double, se double, dof double"
     )
     t = t_quantile("dof")
@@ -127,7 +127,7 @@ def spline_mean(df: DataFrame, y: str, x: str, df_terms: int = 3) -> DataFrame:
         se = np.sqrt(np.einsum("ij,jk,ik->i", b, cov, b))
         return pd.DataFrame({x: pdf[x], "predicted": b @ beta, "se": se, "dof": float(dof)})
 
-    fitted = cells.groupBy(F.lit(1)).applyInPandas(fit, f"{x} double, predicted double, se double, dof double")
+    fitted = cells.groupBy().applyInPandas(fit, f"{x} double, predicted double, se double, dof double")
     t = t_quantile("dof")
     return fitted.select(
         x, "predicted", "se",
