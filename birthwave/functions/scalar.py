@@ -22,7 +22,7 @@ def band(x, width) -> Column:
 
 def range_label(low, width: int) -> Column:
     low = as_col(low).cast("int")
-    return F.concat_ws("-", low.cast("string"), (low + F.lit(width - 1)).cast("string"))
+    return F.concat(low.cast("string"), F.lit("-"), (low + F.lit(width - 1)).cast("string"))
 
 
 def centile_label(p) -> Column:

@@ -34,8 +34,8 @@ def rank_files(files: DataFrame, by: str = "fld", size: str | Column = "size", p
     size = F.col(size) if isinstance(size, str) else size
     return files.withColumns(
         {
-            "fld_N": F.count(F.lit(1)).over(per_folder),
-            "fld_n": F.row_number().over(per_folder.orderBy(size.desc(), F.col(path))),
+            "fld_files": F.count(F.lit(1)).over(per_folder),
+            "fld_rank": F.row_number().over(per_folder.orderBy(size.desc(), F.col(path))),
         }
     )
 
