@@ -6,45 +6,38 @@ import numpy as np
 import pandas as pd
 
 
-def simplex(f, x0: np.ndarray, size: float = 0.5, tol: float = 1e-9, limit: int = 2000) -> tuple[np.ndarray, float, bool]:
-    """Downhill simplex minimum of f, restarted once from its own solution."""
-    evals, best = 0, np.asarray(x0, float)
-    done = False
-    for scale in (size, size / 5):
-        n = len(best)
-        points = np.vstack([best, best + scale * np.eye(n)])
-        values = np.array([f(p) for p in points])
-        evals += n + 1
-        done = False
-        while evals < limit:
-            order = np.argsort(values)
-            points, values = points[order], values[order]
-            if values[-1] - values[0] < tol and np.abs(points[1:] - points[0]).max() < 1e-5:
-                done = True
-                break
-            centre = points[:-1].mean(axis=0)
-            reflected = centre + (centre - points[-1])
-            fr = f(reflected)
-            evals += 1
-            if fr < values[0]:
-                far = centre + 2 * (centre - points[-1])
-                fe = f(far)
-                evals += 1
-                points[-1], values[-1] = (far, fe) if fe < fr else (reflected, fr)
-            elif fr < values[-2]:
-                points[-1], values[-1] = reflected, fr
-            else:
-                inner = centre + 0.5 * ((reflected if fr < values[-1] else points[-1]) - centre)
-                fi = f(inner)
-                evals += 1
-                if fi < min(fr, values[-1]):
-                    points[-1], values[-1] = inner, fi
-                else:
-                    points[1:] = points[0] + 0.5 * (points[1:] - points[0])
-                    values[1:] = [f(p) for p in points[1:]]
-                    evals += n
-        best = points[np.argmin(values)]
-    return best, float(values.min()), done
+def minimise(f, x0: np.ndarray, tol: float = 1e-8, limit: int = 100) -> tuple[np.ndarray, float, bool]:
+    """Quasi-Newton minimum of a smooth function of a few parameters, with central differences."""
+    x = np.asarray(x0, float)
+    k, value = len(x), f(x)
+
+    def gradient(at):
+        h = 1e-4 * np.maximum(1.0, np.abs(at))
+        return np.array([(f(at + e) - f(at - e)) / (2 * d) for e, d in zip(np.diag(h), h)])
+
+    g, inverse, quiet = gradient(x), np.eye(k) / 100, 0
+    for _ in range(limit):
+        step = -inverse @ g
+        if step @ g >= 0:
+            inverse, step = np.eye(k) / 100, -g / 100
+        step *= min(1.0, 2.0 / np.abs(step).max()) if step.any() else 1.0
+        scale, trial = 1.0, f(x + step)
+        while not trial <= value + 1e-4 * scale * (step @ g) and scale > 1e-6:
+            scale /= 3
+            trial = f(x + scale * step)
+        if not trial <= value:
+            return x, value, bool(np.abs(g).max() < 1e-2)
+        quiet = quiet + 1 if value - trial < tol else 0
+        new = gradient(x + scale * step)
+        dx, dg = scale * step, new - g
+        x, value, g = x + dx, trial, new
+        if quiet == 2 or np.abs(g).max() < 1e-6:
+            return x, value, True
+        curve = dx @ dg
+        if curve > 1e-12:
+            left = np.eye(k) - np.outer(dx, dg) / curve
+            inverse = left @ inverse @ left.T + np.outer(dx, dx) / curve
+    return x, value, False
 
 
 def factor(theta: np.ndarray, slope_only: bool) -> np.ndarray:
@@ -88,7 +81,7 @@ def reml_fit(suff: pd.DataFrame, slope_only: bool) -> dict:
         return deviance, beta, xvx, s2, lam, m
 
     start = np.array([0.3]) if slope_only else np.array([0.3, 0.0, 0.3])
-    theta, deviance, converged = simplex(lambda t: profile(t)[0], start)
+    theta, deviance, converged = minimise(lambda t: profile(t)[0], start)
     _, beta, xvx, s2, lam, m = profile(theta)
     vcov = s2 * np.linalg.inv(xvx)
     r = (c - a @ beta) @ lam
@@ -144,7 +137,7 @@ def laplace_fit(cells: pd.DataFrame, slope_only: bool) -> tuple[np.ndarray, dict
 
     share = min(max(so.sum() / sw.sum(), 1e-6), 1 - 1e-6)
     start = [0.3] if slope_only else [0.3, 0.0, 0.3]
-    best, value, converged = simplex(deviance, np.array([*start, np.log(share / (1 - share)), 0.0]), tol=1e-7)
+    best, value, converged = minimise(deviance, np.array([*start, np.log(share / (1 - share)), 0.0]))
     k = len(best)
     # Curvature of the deviance gives the covariance of all parameters.
     h, hess, eye = 1e-3, np.zeros((k, k)), np.eye(k)
