@@ -22,8 +22,8 @@ def digest(stream: str, *keys) -> Column:
 
 def hex_uniform(hexed: Column, start: int, digits: int) -> Column:
     """Uniform in the open unit interval from ``digits`` hex characters."""
-    number = F.conv(F.substring(hexed, start, digits), 16, 10).cast("double")
-    return (number + F.lit(0.5)) / F.lit(float(16**digits))
+    number = F.conv(F.substring(hexed, start, digits), 16, 10).cast("bigint")
+    return (number.cast("double") + F.lit(0.5)) / F.lit(float(16**digits))
 
 
 def uniform(stream: str, *keys) -> Column:

@@ -10,18 +10,19 @@ holds nothing but the number of keys still running.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.design import natural_spline, spline_knots
 from ..functions.scalar import lms_value, normal_cdf_positive_sql
 from .intervals import point_and_interval
 from .reshape import linear_predictor, long_design, parameters_wide
-from .resample import poisson_bootstrap
+from .resample import poisson_draws, replicate_block
 from .staging import join_summary, stage
 
 PARAMS = ("mu", "sigma", "nu")
@@ -29,11 +30,16 @@ _NU_FLOOR = 1e-4
 # Pairs of parameters whose information is summed.
 _BLOCKS = ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))
 _STATE = (
-    "sid bigint, boot int, coef array<double>, trial array<double>, dir array<double>, "
+    "no bigint, boot int, coef array<double>, trial array<double>, dir array<double>, "
     "step double, loglik double, cycles int, status string"
 )
 
 
+def _key() -> Column:
+    """Stratum number and replicate in one integer, for one-column joins and grouping."""
+    return F.expr("no * 1048576L + boot").alias("key")
+
+
 def with_spline(df: DataFrame, x: str, df_terms: int, by: list[str], prefix: str = "ns") -> tuple[DataFrame, list[str]]:
     """Rows with the natural-spline columns of their own stratum, and the column names."""
     knots = spline_knots(df, x, df_terms, by).select(*by, "knots")
@@ -127,7 +133,7 @@ def _advance(p: int, tol: float, max_passes: int):
         trial, cycles = np.asarray(row.trial), row.cycles + 1
         direction, status = np.asarray(row.dir), "run"
         if row.n is None or np.isnan(row.n):
-            return row.sid, row.boot, coef, trial, direction, step, old, cycles, "empty"
+            return row.no, row.boot, coef, trial, direction, step, old, cycles, "empty"
         new = row.new_loglik
         first = np.isnan(old)
         if np.isfinite(new) and (first or new >= old - 1e-10 * abs(old)):
@@ -142,7 +148,7 @@ def _advance(p: int, tol: float, max_passes: int):
                 status = "stalled"
         if status == "run" and cycles >= max_passes:
             status = "unfinished"
-        return row.sid, row.boot, coef, coef + step * direction, direction, step, old, cycles, status
+        return row.no, row.boot, coef, coef + step * direction, direction, step, old, cycles, status
 
     names = [field.split()[0] for field in _STATE.split(", ")]
 
@@ -153,23 +159,37 @@ def _advance(p: int, tol: float, max_passes: int):
     return advance
 
 
-def _iterate(rows: DataFrame, state: DataFrame, y, terms, mu_link, tol, max_passes) -> DataFrame:
-    """Scoring passes until no key runs; finished keys leave the aggregation."""
+def _iterate(
+    base: DataFrame, state: DataFrame, terms: list[str], mu_link: str, tol: float, max_passes: int, replicated: bool, seed: int
+) -> DataFrame:
+    """Scoring passes until no key runs; finished keys leave the aggregation.
+
+    Replicates are drawn anew in each pass, and only in the strata and blocks
+    that still have a running key.
+    """
     p = len(terms) + 1
     advance = _advance(p, tol, max_passes)
+    parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     finished = []
     while True:
         running = state.where(F.col("status") == "run")
         finished.append(state.where(F.col("status") != "run"))
         if running.isEmpty():
             break
-        # The state is a written table, so its true size decides whether it is broadcast.
-        point = running.select("sid", "boot", *[F.col("trial")[i].alias(f"c{i}") for i in range(3 * p)])
-        scored = score_columns(rows.join(point, ["sid", "boot"]), y, terms, mu_link)
-        sums = score_sums(scored, ["sid", "boot"], "k * _w", terms)
+        # The state is a written table, so its true size decides whether a join broadcasts it.
+        point = running.select(_key(), *[F.col("trial")[i].alias(f"c{i}") for i in range(3 * p)])
+        if replicated:
+            blocks = F.collect_set(replicate_block(F.col("boot"))).alias("_blocks")
+            rows = base.join(running.groupBy("no").agg(blocks), "no")
+            rows = poisson_draws(rows, ["sid"], "_row", F.col("_blocks"), seed).drop("_blocks")
+        else:
+            rows = base.withColumns({"boot": F.lit(0), "k": F.lit(1)})
+        rows = rows.withColumn("key", _key()).join(point, "key")
+        sums = score_sums(score_columns(rows, "_y", terms, mu_link), ["key"], "k * _w", terms)
         sums = sums.withColumnRenamed("loglik", "new_loglik")
-        joined = running.join(sums, ["sid", "boot"], "left")
-        state = stage(joined.mapInPandas(advance, _STATE), "lms-state")
+        joined = running.withColumn("key", _key()).join(sums, "key", "left")
+        # The solves are spread explicitly: their rows are too few bytes for adaptive execution to do so.
+        state = stage(joined.repartition(parts).mapInPandas(advance, _STATE), "lms-state")
     out = finished[0]
     for part in finished[1:]:
         out = out.unionByName(part)
@@ -203,12 +223,16 @@ def fit_lms(
     strata = base.groupBy("sid", *by).agg(
         F.avg("_y").alias("_mean"), (F.stddev_pop("_y") / F.avg("_y")).alias("_cv")
     )
-    strata = stage(strata, "lms-strata")
+    # Strata are few: they are numbered in one task.
+    strata = stage(strata.withColumn("no", F.row_number().over(Window.orderBy("sid")).cast("bigint")), "lms-strata")
     if strata.groupBy("sid").count().where("count > 1").take(1):
         raise RuntimeError("two strata share a hash; rename one of them")
+    base = join_summary(base.drop(*by), strata.select("sid", "no"), ["sid"], "inner")
+    # Replicates multiply the work per row, so the number of parts is not left to their size.
     # Parts hold few strata each, so a pass emits few partial sums per task, and
     # a stratum with most rows is split over many parts.
-    base = base.drop(*by).repartitionByRange("sid", "_row").persist(StorageLevel.MEMORY_AND_DISK)
+    parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = base.repartitionByRange(parts, "no", "_row").persist(StorageLevel.MEMORY_AND_DISK)
     centre = F.log("_mean") if mu_link == "log" else F.col("_mean")
     zeros = [F.lit(0.0)] * (p - 1)
     start = F.array(
@@ -217,26 +241,24 @@ def fit_lms(
 
     def fresh(keys: DataFrame, coef: Column) -> DataFrame:
         return keys.select(
-            "sid", "boot", coef.alias("coef"), coef.alias("trial"),
+            "no", "boot", coef.alias("coef"), coef.alias("trial"),
             F.array_repeat(F.lit(0.0), 3 * p).alias("dir"), F.lit(1.0).alias("step"),
             F.lit(float("nan")).alias("loglik"), F.lit(0).alias("cycles"), F.lit("run").alias("status"),
         )
 
-    sample = base.withColumns({"boot": F.lit(0), "k": F.lit(1)})
     state = fresh(strata.withColumn("boot", F.lit(0)), start)
-    state = _iterate(sample, state, "_y", terms, mu_link, tol, max_passes)
+    state = _iterate(base, state, terms, mu_link, tol, max_passes, False, seed)
     if reps:
         again = state.drop("boot").withColumn("boot", F.explode(F.sequence(F.lit(1), F.lit(reps))))
         again = stage(fresh(again, F.col("coef")), "lms-state")
-        drawn = poisson_bootstrap(base, ["sid"], "_row", reps, seed).where("boot > 0")
-        state = state.unionByName(_iterate(drawn, again, "_y", terms, mu_link, tol, max_passes))
+        state = state.unionByName(_iterate(base, again, terms, mu_link, tol, max_passes, True, seed))
     base.unpersist()
     names = ["(Intercept)", *terms]
     cells = [
         F.struct(F.lit(PARAMS[b]).alias("param"), F.lit(t).alias("term"), F.col("coef")[b * p + i].alias("beta"))
         for b in range(3) for i, t in enumerate(names)
     ]
-    out = state.join(strata.select("sid", *by), "sid").withColumn("_c", F.explode(F.array(*cells)))
+    out = state.join(strata.select("no", *by), "no").withColumn("_c", F.explode(F.array(*cells)))
     return out.select(
         *by, "boot", "_c.param", "_c.term", "_c.beta",
         (F.col("status") == "converged").alias("converged"), "cycles", "loglik",
@@ -253,21 +275,67 @@ def lms_parameters(coef: DataFrame, grid: DataFrame, by: list[str], x: str, colu
     return parameters_wide(values, [*by, "boot", x])
 
 
+def centile_table(percents) -> Column:
+    """Percentages with their normal scores, as a literal array."""
+    score = NormalDist().inv_cdf
+    return F.array(*[F.struct(F.lit(p).alias("centile"), F.lit(score(p / 100)).alias("z")) for p in percents])
+
+
 def expand_centiles(params: DataFrame, percents=range(1, 100), log_mu: bool = False) -> DataFrame:
     """One row per centile with its value; scores come from a literal table."""
-    from statistics import NormalDist
-
-    table = [
-        F.struct(F.lit(p).alias("centile"), F.lit(NormalDist().inv_cdf(p / 100)).alias("z")) for p in percents
-    ]
-    rows = params.withColumn("_c", F.explode(F.array(*table)))
+    rows = params.withColumn("_c", F.explode(centile_table(percents)))
     value = lms_value("mu", "sigma", "nu", "_c.z", log_mu)
     return rows.withColumns({"centile": F.col("_c.centile"), "value": value}).drop("_c")
 
 
 def lms_centiles(params: DataFrame, by: list[str], percents=range(1, 100), log_mu: bool = False) -> DataFrame:
-    """Centile curves with percentile intervals over replicates."""
-    return point_and_interval(expand_centiles(params, percents, log_mu), [*by, "centile"], "value")
+    """Centile curves with percentile intervals over replicates.
+
+    The replicates of a curve point travel together as arrays, so the shuffle
+    carries parameters and not their many centile values; each point becomes
+    a small matrix of replicates by centiles.
+    """
+    again = F.col("boot") > 0
+    arrays = [F.collect_list(F.when(again, F.struct("mu", "sigma", "nu"))).alias("_r")]
+    point = [F.max(F.when(~again, F.col(p))).alias(f"_{p}") for p in PARAMS]
+    packed = params.groupBy(*by).agg(*arrays, *point)
+    packed = packed.select(*by, *[f"_{p}" for p in PARAMS], *[F.col("_r")[p].alias(f"_{p}s") for p in PARAMS])
+    scores = np.array([NormalDist().inv_cdf(p / 100) for p in percents])
+    numbers = np.array(list(percents), dtype="int32")
+    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in params.select(*by).schema)
+
+    def values(mu, sigma, nu) -> np.ndarray:
+        """Replicates by centiles; NaN where a negative base has no value."""
+        mu, sigma, nu = (np.asarray(v, dtype=float)[:, None] for v in (mu, sigma, nu))
+        near = np.abs(nu) < 1e-8
+        base = 1 + nu * sigma * scores
+        power = np.where(base > 0, base, np.nan) ** (1 / np.where(near, 1.0, nu))
+        return (np.exp(mu) if log_mu else mu) * np.where(near, np.exp(sigma * scores), power)
+
+    def quantiles(v: np.ndarray, probs=(0.025, 0.975)) -> list[np.ndarray]:
+        """Interpolated quantiles per column of the values that exist."""
+        v = np.sort(v, axis=0)
+        n = (~np.isnan(v)).sum(axis=0)
+        out = []
+        for p in probs:
+            at = np.maximum(n - 1, 0) * p
+            low = np.floor(at).astype(int)
+            high, cols = np.minimum(low + 1, np.maximum(n - 1, 0)), np.arange(v.shape[1])
+            first, second = v[low, cols], v[high, cols]
+            out.append(first + (at - low) * (second - first))
+        return out
+
+    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                r = dict(zip(pdf.columns, row))
+                beta = values(*[[np.nan if r[f"_{p}"] is None else r[f"_{p}"]] for p in PARAMS])[0]
+                none = np.full(len(numbers), np.nan)
+                low, high = quantiles(values(*[r[f"_{p}s"] for p in PARAMS])) if len(r["_mus"]) else (none, none)
+                fixed = {b: [r[b]] * len(numbers) for b in by}
+                yield pd.DataFrame(fixed | {"centile": numbers, "beta": beta, "lci": low, "uci": high})
+
+    return packed.mapInPandas(expand, f"{keys}, centile int, beta double, lci double, uci double")
 
 
 def parameter_intervals(params: DataFrame, by: list[str]) -> DataFrame:
@@ -277,8 +345,6 @@ def parameter_intervals(params: DataFrame, by: list[str]) -> DataFrame:
 
 def centile_contrast(params: DataFrame, by: list[str], pairs=((25, 75), (10, 90))) -> DataFrame:
     """Difference of two centiles within each replicate, then its interval."""
-    from statistics import NormalDist
-
     z = NormalDist().inv_cdf
     table = [
         F.struct(

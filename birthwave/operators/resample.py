@@ -2,39 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import draws
 from .ranks import global_rank
 
+# A digest of 128 bits serves four replicates with 32 bits each.
 _WORDS = 4
-_WORD_HEX = 8
+_WORD_SIZE = 1 << 32
 _DRAWS_PER_CHUNK = 65_536
 
 
-def poisson_bootstrap(df: DataFrame, by: list[str], row_id: str, reps: int, seed: int = 1) -> DataFrame:
-    """Rows times replicates with a Poisson(1) count ``k``; replicate 0 is the sample.
+def replicate_block(boot) -> Column:
+    """Block of replicates that share one digest."""
+    return F.floor((boot - 1) / _WORDS).cast("int")
+
+
+def poisson_draws(df: DataFrame, by: list[str], row_id: str, blocks: Column, seed: int = 1) -> DataFrame:
+    """Rows times the replicates of the listed blocks, with positive Poisson(1) counts ``k``.
 
     The count is a function of stratum, row and replicate, so replicates need
     neither a shuffle nor storage: they are laid out and aggregated within the
-    task that reads the row. One digest serves four replicates.
+    task that reads the row.
     """
-    blocks = (reps + _WORDS - 1) // _WORDS
     digest = draws.digest("poisson", F.lit(seed), *by, row_id, "_block")
-    uniforms = [draws.hex_uniform(F.col("_hex"), 1 + i * _WORD_HEX, _WORD_HEX) for i in range(_WORDS)]
-    drawn = (
-        df.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    halves = {f"_h{i}": F.conv(F.substring("_hex", 1 + 16 * i, 16), 16, -10).cast("bigint") for i in (0, 1)}
+    words = [w for h in halves for w in (F.shiftrightunsigned(h, 32), F.col(h).bitwiseAND(F.lit(_WORD_SIZE - 1)))]
+    uniforms = [(w.cast("double") + F.lit(0.5)) / F.lit(float(_WORD_SIZE)) for w in words]
+    return (
+        df.withColumn("_block", F.explode(blocks))
         .withColumn("_hex", digest)
+        .withColumns(halves)
         .select("*", F.posexplode(F.array(*uniforms)).alias("_word", "_u"))
         # The first step of the distribution is the chance of a zero count.
         .where(F.col("_u") >= F.lit(draws.poisson_steps()[0]))
         .withColumn("boot", F.col("_block") * _WORDS + F.col("_word") + 1)
-        .where(F.col("boot") <= reps)
         .withColumn("k", draws.poisson_count(F.col("_u")))
+        .drop("_block", "_word", "_hex", "_h0", "_h1", "_u")
     )
-    sample = df.withColumns({"boot": F.lit(0), "k": F.lit(1)})
-    return sample.unionByName(drawn.drop("_block", "_word", "_hex", "_u"))
+
+
+def poisson_bootstrap(df: DataFrame, by: list[str], row_id: str, reps: int, seed: int = 1) -> DataFrame:
+    """Rows times replicates with a Poisson(1) count ``k``; replicate 0 is the sample."""
+    blocks = F.sequence(F.lit(0), replicate_block(F.lit(reps)))
+    drawn = poisson_draws(df, by, row_id, blocks, seed).where(F.col("boot") <= reps)
+    return df.withColumns({"boot": F.lit(0), "k": F.lit(1)}).unionByName(drawn)
 
 
 def exact_bootstrap(df: DataFrame, by: list[str], row_id: str, reps: int, seed: int = 1) -> DataFrame:
