@@ -18,6 +18,7 @@ from ..functions.scalar import band, interval, inverse_logit
 from ..params import Params
 from .reshape import linear_predictor
 from .solvers import laplace_fit, reml_fit
+from .staging import join_summary
 
 INTERCEPT, SLOPE = "(Intercept)", "age_s"
 FIT_SCHEMA = (
@@ -207,3 +208,9 @@ def group_trajectories(
     ages = ages.withColumn("beta", F.col("fixef") + F.col("ranef"))
     out = linear_predictor(ages, design, [*by, "age", "term"], [*by, "birth", "age"])
     return out.withColumn("estimate", inverse_logit("estimate")) if logit else out
+
+
+def clip_to_range(curves: DataFrame, ranges: DataFrame, by: list[str]) -> DataFrame:
+    """Curve points at ages between the youngest and oldest seen in their group."""
+    rows = join_summary(curves, ranges.select(*by, "birth", "min_age", "max_age"), [*by, "birth"])
+    return rows.where(F.col("age").between(F.col("min_age"), F.col("max_age"))).drop("min_age", "max_age")

@@ -43,3 +43,12 @@ def uncode_levels(coef: DataFrame, by: list[str], base_level, intercept: str = "
         F.when(is_base, F.lit(base_level)).otherwise(F.col("_t.term")).alias("term"),
         F.when(is_base, F.col("_base")).otherwise(F.col("_t.beta") + F.col("_base")).alias("beta"),
     )
+
+
+def nest(df: DataFrame, by: list[str], columns: list[str], name: str = "data") -> DataFrame:
+    """One row per key with its rows as a sorted array; meant for grouped tables, not persons."""
+    return df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
+
+
+def unnest(df: DataFrame, by: list[str], name: str = "data") -> DataFrame:
+    return df.select(*by, F.inline(name))

@@ -254,7 +254,7 @@ ORACLE = {
   count(CASE WHEN wave >= 2003 THEN rawwt END) AS n_wt FROM raw GROUP BY wave""",
     "pruned_scan": "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1",
     "file_ranks": """SELECT o_custkey AS fld, o_orderkey AS path, count(*) OVER (PARTITION BY o_custkey) AS fld_files,
-  row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)::INT AS fld_rank FROM orders""",
+  row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS fld_rank FROM orders""",
     "band_age_draw": f"""WITH {RAW}, bands(bcode, lo, hi) AS ({values(_BANDS)})
 SELECT row_id, code AS age35g, lo, hi, (lo + floor({uniform('band_age', "'1'", 'row_id')} * (hi - lo + 1)))::INT AS age
 FROM raw LEFT JOIN bands ON code = bcode WHERE wave >= 2015 AND code IS NOT NULL""",
@@ -347,6 +347,13 @@ SELECT stratum, birth, age, round(1 / (1 + exp(-eta)), 6) AS estimate FROM ev"""
     "random_effect_ci": MISSING + f""", g AS (SELECT stratum, birth, avg(bmi) - 27 AS e, 4 / sqrt(count(*)) AS se
   FROM (SELECT *, unnest([lower(sex), 'all']) AS stratum FROM miss WHERE bmi IS NOT NULL) GROUP BY ALL)
 SELECT stratum, birth, unnest(['Random Intercept', 'Random Slope']) AS term_clean, round(e, 6) AS ranef, round(e - {Z975!r} * se, 6) AS lci, round(e + {Z975!r} * se, 6) AS uci FROM g""",
+    "observed_range": MISSING + """, st AS (SELECT birth, age, unnest([lower(sex), 'all']) AS stratum FROM miss),
+rg AS (SELECT stratum, birth, min(age) AS lo, max(age) AS hi FROM st GROUP BY ALL)
+SELECT stratum, birth, unnest(range(lo, hi + 1))::INT AS age FROM rg""",
+    "nested_counts": COHORT + """, ac AS (SELECT cohort, stratum, age, count(*) AS n FROM st GROUP BY ALL)
+SELECT cohort, stratum, (count(*) OVER (PARTITION BY cohort, stratum))::INT AS ages, age, n FROM ac""",
+    "pooled_means": posterior(10) + """, ce AS (SELECT imp, birth, age, avg(yhat) AS pred FROM yh GROUP BY ALL)
+SELECT birth, age, round(avg(pred), 6) AS pred FROM ce GROUP BY ALL""",
     "imputation_frame": FRAME + "SELECT row_id, round(bmi, 6) AS bmi, round(age_s, 6) AS age_s, age, birth, round(wt_int, 6) AS wt_int, obs FROM frame",
     "posterior_draws": posterior(10) + "SELECT imp, birth, round(a0, 6) AS a0, round(a1, 6) AS a1, 4.4e0 AS sigma FROM po",
     "noisy_predictions": posterior(10) + "SELECT imp, row_id, round(yhat, 6) AS yhat FROM yh",

@@ -473,6 +473,22 @@ def random_effect_ci(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(mixed.random_effect_intervals(effects, ["stratum"]), "ranef", "lci", "uci")
 
 
+def observed_range(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole age window laid out per birth year, then cut to the ages it was seen at."""
+    frame = strata.expand_strata(impute.missingness_frame(clean_table(spark, sf), P))
+    ranges = frame.groupBy("stratum", "birth").agg(F.min("age").alias("min_age"), F.max("age").alias("max_age"))
+    window = F.explode(F.sequence(F.lit(P.age_low), F.lit(P.age_high)))
+    curves = ranges.select("stratum", "birth", window.alias("age"))
+    return mixed.clip_to_range(curves, ranges, ["stratum"])
+
+
+def nested_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Age counts nested per cohort and stratum, then unnested with the number of ages."""
+    rows = strata.expand_strata(strata.cohort_sample(clean_table(spark, sf), P))
+    nested = reshape.nest(profile.count_by(rows, [*SEXES, "age"]), SEXES, ["age", "n"])
+    return reshape.unnest(nested.withColumn("ages", F.size("data")), [*SEXES, "ages"])
+
+
 # Imputation
 
 
@@ -507,6 +523,12 @@ def noisy_predictions(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rows.select("imp", "row_id", "yhat"), "yhat")
 
 
+def pooled_means(spark: SparkSession, sf: str) -> DataFrame:
+    _, rows = _given_predictions(spark, sf, P.imputations)
+    cells = rows.groupBy("imp", "birth", "age").agg(F.avg("yhat").alias("pred"))
+    return rounded(intervals.replicate_means(cells, ["birth", "age"], ["pred"]), "pred")
+
+
 def pmm_impute(spark: SparkSession, sf: str) -> DataFrame:
     _, rows = _given_predictions(spark, sf, 5)
     return rounded(impute.pmm(rows, ["imp"], "yhat", "bmi", "row_id", P.donors, P.seed), "imputed")
@@ -583,7 +605,7 @@ QUERIES = [
     parameter_interval, centile_log_link, uncoded_levels, lms_score_pass, bootstrap_counts, bootstrap_mean_ci,
     poisson_mean_ci, replicate_interval, global_ranks, missing_by_year_ols, missing_two_factor_ols,
     missing_spline_ols, spec_sample_sizes, mixed_suffstats, binary_cells, lmm_fit, glmm_fit, spec_trajectories,
-    spec_random_effects, lmm_trajectories, random_effect_ci, imputation_frame, posterior_draws, noisy_predictions,
-    pmm_impute, delta_suffstats, pattern_mixture, pattern_figures, lms_fit, lms_fit_centiles, lms_age_band_fit,
+    spec_random_effects, lmm_trajectories, random_effect_ci, observed_range, nested_counts, imputation_frame,
+    posterior_draws, noisy_predictions, pooled_means, pmm_impute, delta_suffstats, pattern_mixture, pattern_figures, lms_fit, lms_fit_centiles, lms_age_band_fit,
     lms_birth_band_fit, figure_feed, age_figure_feed, parameter_figure_feed, category_lines,
 ]

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranks import global_rank
+from ..operators.staging import join_summary
 from ..params import FILE_PATTERN, WHOLE_FOLDERS
 
 
@@ -28,16 +30,15 @@ def file_catalog(
     return rows.where(F.col("fld").rlike(folder_pattern) & keep)
 
 
-def rank_files(files: DataFrame, by: str = "fld", size: str | Column = "size", path: str = "path") -> DataFrame:
-    """Number of files of each folder and their rank by descending size."""
-    per_folder = Window.partitionBy(by)
-    size = F.col(size) if isinstance(size, str) else size
-    return files.withColumns(
-        {
-            "fld_files": F.count(F.lit(1)).over(per_folder),
-            "fld_rank": F.row_number().over(per_folder.orderBy(size.desc(), F.col(path))),
-        }
-    )
+def rank_files(files: DataFrame, by: str = "fld", size: str = "size", path: str = "path") -> DataFrame:
+    """Number of files of each folder and their rank by descending size.
+
+    Counts are joined back and ranks are global positions, so that a folder
+    with most of the rows is not gathered in one task.
+    """
+    counts = files.groupBy(by).agg(F.count(F.lit(1)).alias("fld_files"))
+    ranked = global_rank(files.withColumn("_smaller", -F.col(size)), [by], ["_smaller", path], "fld_rank")
+    return join_summary(ranked.drop("_smaller"), counts, [by])
 
 
 def variable_dictionary(spark: SparkSession, paths: list[str]) -> DataFrame:
