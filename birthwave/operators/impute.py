@@ -99,7 +99,10 @@ def pmm(df: DataFrame, by: list[str], yhat: str, y: str, row_id: str, donors: in
     )
     met = wanted.join(pool, [*by, "_at"])
     above = (F.col("_at") > F.col("_r")).cast("int")
-    order = F.struct(F.abs(F.col("_q") - F.col("_p")).alias("d"), above.alias("s"), F.abs(F.col("_at") - F.col("_r")).alias("k"), F.col("_y").alias("y"))
+    order = F.struct(
+        F.abs(F.col("_q") - F.col("_p")).alias("d"), above.alias("s"),
+        F.abs(F.col("_at") - F.col("_r")).alias("k"), F.col("_y").alias("y"),
+    )
     near = met.groupBy(*by, row_id).agg(F.slice(F.sort_array(F.collect_list(order)), 1, donors).alias("_near"))
     pick = F.floor(draws.uniform("donor", F.lit(seed), *by, row_id) * F.size("_near"))
     return near.select(*by, row_id, F.get("_near", pick.cast("int"))["y"].alias("imputed"))

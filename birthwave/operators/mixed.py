@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from itertools import product
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F

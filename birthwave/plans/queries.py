@@ -335,7 +335,10 @@ def lms_score_pass(spark: SparkSession, sf: str) -> DataFrame:
     rows, terms = lms.with_spline(centiles.cohort_strata(clean_table(spark, sf), P), "age", 2, SEXES)
     rows = rows.withColumns({f"c{i}": F.lit(c[2]) for i, c in enumerate(GIVEN_CENTILE_COEFFICIENTS)})
     sums = lms.score_sums(lms.score_columns(rows, "bmi", terms), SEXES, "w", terms)
-    names = ["loglik", "g0_0", "g0_1", "g1_0", "g1_2", "g2_0", "g2_1", "i00_1_1", "i01_0_1", "i02_0_2", "i11_2_2", "i12_1_2", "i22_0_0"]
+    names = [
+        "loglik", "g0_0", "g0_1", "g1_0", "g1_2", "g2_0", "g2_1",
+        "i00_1_1", "i01_0_1", "i02_0_2", "i11_2_2", "i12_1_2", "i22_0_0",
+    ]
     return sums.select(*SEXES, "n", *[F.round(n, 4).alias(n) for n in names])
 
 
@@ -606,6 +609,7 @@ QUERIES = [
     poisson_mean_ci, replicate_interval, global_ranks, missing_by_year_ols, missing_two_factor_ols,
     missing_spline_ols, spec_sample_sizes, mixed_suffstats, binary_cells, lmm_fit, glmm_fit, spec_trajectories,
     spec_random_effects, lmm_trajectories, random_effect_ci, observed_range, nested_counts, imputation_frame,
-    posterior_draws, noisy_predictions, pooled_means, pmm_impute, delta_suffstats, pattern_mixture, pattern_figures, lms_fit, lms_fit_centiles, lms_age_band_fit,
+    posterior_draws, noisy_predictions, pooled_means, pmm_impute, delta_suffstats, pattern_mixture, pattern_figures,
+    lms_fit, lms_fit_centiles, lms_age_band_fit,
     lms_birth_band_fit, figure_feed, age_figure_feed, parameter_figure_feed, category_lines,
 ]

@@ -54,13 +54,13 @@ def test_scan_reads_only_the_survey_columns(spark, root):
 
 
 def test_catalogue_rules(spark, tmp_path):
-    for name in ("1993/any.parquet", "1999/hse99ai.parquet", "1999/other.parquet", "2010/x_eul_v1.parquet", "docs/eul.parquet"):
+    for name in ("1993/any.parquet", "1999/wave99ai.parquet", "1999/other.parquet", "2010/x_eul_v1.parquet", "docs/eul.parquet"):
         path = tmp_path / name
         path.parent.mkdir(exist_ok=True)
         path.write_bytes(b"x" * 1024)
     got = catalog.rank_files(catalog.file_catalog(spark, str(tmp_path))).orderBy("fld").collect()
     assert [(r["fld"], r["path"].rsplit("/", 1)[1], r["fld_files"]) for r in got] == [
-        ("1993", "any.parquet", 1), ("1999", "hse99ai.parquet", 1), ("2010", "x_eul_v1.parquet", 1)
+        ("1993", "any.parquet", 1), ("1999", "wave99ai.parquet", 1), ("2010", "x_eul_v1.parquet", 1)
     ]
     assert got[0]["size"] == 1024 / 1024**2
 
