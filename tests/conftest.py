@@ -1,6 +1,10 @@
 import os
 import sys
 
+# One linear-algebra thread, as Spark gives its Python workers: the pool can stall beside a JVM.
+for name in ("OPENBLAS_NUM_THREADS", "OMP_NUM_THREADS"):
+    os.environ.setdefault(name, "1")
+
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
