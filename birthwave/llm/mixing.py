@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import carry, join_small, outputs, stage
-from .quality import without
+from .quality import SYMBOLS
 
 BINS = 65_536
 UNIT = float(2**52 + 1)
@@ -34,7 +34,7 @@ def size_of(text: Column) -> Column:
 
 def quality_weight(text: Column) -> Column:
     """Between 0.1 and 1: falls with the share of symbols among the characters."""
-    symbols, chars = F.length(text) - without(text, "#*$%&|<>"), F.length(text)
+    symbols, chars = F.regexp_count(text, F.lit(SYMBOLS)), F.length(text)
     weight = F.greatest(F.lit(0.1), F.lit(1.0) - 5 * symbols.cast("double") / chars)
     return F.when(chars > 0, weight).otherwise(F.lit(0.1))
 

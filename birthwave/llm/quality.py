@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import carry, outputs, words
 
 WINDOW = 8
+SYMBOLS = r"[#*$%&|<>]"
 
 # Function words of the four languages.
 STOP_WORDS = (
@@ -59,11 +60,6 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part.cast("double") / whole).otherwise(F.lit(0.0))
 
 
-def without(text: Column, chars: str) -> Column:
-    """Code points of ``text`` that are not in ``chars``."""
-    return F.length(F.translate(text, chars, ""))
-
-
 def compile_rules(rules: tuple[Rule, ...], metrics: dict[str, Column], n_words: Column) -> list[Column]:
     """One boolean column per row of the threshold table: true if the rule fails."""
     failed = []
@@ -81,11 +77,19 @@ def compile_rules(rules: tuple[Rule, ...], metrics: dict[str, Column], n_words:
 
 
 def repeat_words(hashes: str = "_hash", window: int = WINDOW) -> tuple[list[tuple[str, Column]], Column]:
-    """Steps and result: words in windows that occur twice or more in the text."""
+    """Steps and result: words in windows of 8 that occur twice or more in the text.
+
+    Hashes of 2, 4 and 8 words are made from halves; texts in which no 4 words
+    repeat skip the last level.
+    """
     n = F.size(hashes)
-    windows = F.when(
-        n >= window, F.transform(F.sequence(F.lit(1), n - window + 1), lambda i: F.xxhash64(F.slice(F.col(hashes), i, window)))
-    ).otherwise(F.array().cast("array<bigint>"))
+
+    def doubled(level: str, width: int) -> Column:
+        return F.transform(level, lambda x, i: F.xxhash64(x, F.get(F.col(level), i + width)))
+
+    none = F.array().cast("array<bigint>")
+    four_repeats = (n >= window) & (F.size(F.array_distinct("_h4")) < n)
+    windows = F.when(four_repeats, F.slice(doubled("_h4", 4), 1, n - window + 1)).otherwise(none)
     some = F.size(F.array_distinct("_win")) < F.size("_win")
     order = F.when(some, F.sort_array(F.transform("_win", lambda h, i: F.struct(h.alias("h"), i.alias("p")))))
     near = lambda k: F.get(F.col("_sorted"), k)["h"]
@@ -97,7 +101,7 @@ def repeat_words(hashes: str = "_hash", window: int = WINDOW) -> tuple[list[tupl
     )
     gaps = F.transform("_starts", lambda p, k: F.least(F.coalesce(F.get(F.col("_starts"), k + 1) - p, F.lit(window)), F.lit(window)))
     total = F.coalesce(F.aggregate(gaps, F.lit(0), lambda a, g: a + g), F.lit(0)).cast("long")
-    return [("_win", windows), ("_sorted", order), ("_starts", starts)], total
+    return [("_h2", doubled(hashes, 1)), ("_h4", doubled("_h2", 2)), ("_win", windows), ("_sorted", order), ("_starts", starts)], total
 
 
 def score(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
@@ -109,16 +113,16 @@ def score(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
     steps, repeated = repeat_words()
     for name, value in steps:
         df = df.withColumn(name, value)
-    n_lines, n_text = F.size("_lines"), F.length("_text")
+    n_lines = F.size("_lines")
     df = df.select(
         "_row",
         F.size("_words").cast("long").alias("n_words"),
-        without(F.col("_text"), " \t\n\x0b\f\r").cast("long").alias("word_chars"),
-        (n_text - without(F.col("_text"), "#*$%&|<>")).cast("long").alias("n_symbols"),
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        F.regexp_count("_text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (n_lines - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         repeated.alias("n_repeat_words"),
         n_lines.alias("_n_lines"),
-        (n_text - without(F.col("_text"), "!")).alias("_exclaims"),
+        F.regexp_count("_text", F.lit("!")).alias("_exclaims"),
         F.size(F.filter("_words", lambda w: F.lower(w).isin(STOP_WORDS))).alias("_stops"),
         F.size(F.filter("_lines", lambda x: x.rlike(r"^[\x20\x09-\x0D]*[-*•]"))).alias("_bullets"),
         F.size(F.filter("_lines", lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$"))).alias("_dots"),
