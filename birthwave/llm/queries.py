@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from . import licences, mixing, quality
-from .common import documents
+import uuid
+
+import public_tokenizers
+
+from . import bpe, licences, mixing, quality, tokens
+from .common import documents, stage_root
 from .oracle import ORACLE  # noqa: F401
 
 
@@ -12,14 +16,26 @@ def op1_quality_rules(spark, sf_dir):
     return quality.score(documents(spark, sf_dir).select("doc_id", "text")).select(*cols)
 
 
+def op2_byte_bpe(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_text=False)
+
+
 def op7_source_mix(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_token_counts(spark, sf_dir):
+    """With an empty cache of its own, so that every distinct text is encoded."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    cache = f"{stage_root(spark)}/token-cache-{uuid.uuid4().hex}"
+    return tokens.count(docs, public_tokenizers.path("byte_bpe_50k.json"), cache).drop("text")
+
+
 def op10_license_scan(spark, sf_dir):
     cols = "doc_id n_words n_base first_word last_word base_labels labels score".split()
     return licences.scan(documents(spark, sf_dir).select("doc_id", "text")).select(*cols)
 
 
-QUERIES = [op1_quality_rules, op7_source_mix, op10_license_scan]
+QUERIES = [op1_quality_rules, op2_byte_bpe, op7_source_mix, op8_token_counts, op10_license_scan]
