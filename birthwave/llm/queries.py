@@ -6,7 +6,7 @@ import uuid
 
 import public_tokenizers
 
-from . import bpe, licences, mixing, quality, tokens
+from . import bpe, licences, mixing, quality, simhash, tokens
 from .common import documents, stage_root
 from .oracle import ORACLE  # noqa: F401
 
@@ -21,6 +21,10 @@ def op2_byte_bpe(spark, sf_dir):
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_text=False)
 
 
+def op6_simhash_groups(spark, sf_dir):
+    return simhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op7_source_mix(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -38,4 +42,4 @@ def op10_license_scan(spark, sf_dir):
     return licences.scan(documents(spark, sf_dir).select("doc_id", "text")).select(*cols)
 
 
-QUERIES = [op1_quality_rules, op2_byte_bpe, op7_source_mix, op8_token_counts, op10_license_scan]
+QUERIES = [op1_quality_rules, op2_byte_bpe, op6_simhash_groups, op7_source_mix, op8_token_counts, op10_license_scan]
