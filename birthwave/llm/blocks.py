@@ -92,7 +92,7 @@ def packed(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> pa.Arra
 
 def unpacked(column: pa.ChunkedArray, kind) -> tuple[np.ndarray, np.ndarray]:
     """All values of a binary column and the row of each."""
-    parts = [np.frombuffer(x, kind) for x in column.to_pylist()]
+    parts = [np.frombuffer(x or b"", kind) for x in column.to_pylist()]
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     return np.concatenate(parts) if parts else np.zeros(0, kind), np.repeat(np.arange(len(parts)), lengths)
 

@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, licences, mixing, quality, simhash, substring, tokens
+from . import bpe, licences, mixing, quality, simhash, substring, suffix, tokens
 from .common import documents, stage_root
 from .oracle import ORACLE  # noqa: F401
 
@@ -43,9 +43,14 @@ def op8_token_counts(spark, sf_dir):
     return tokens.count(docs, public_tokenizers.path("byte_bpe_50k.json"), cache).drop("text")
 
 
+def op9_suffix_dedup(spark, sf_dir):
+    cut = suffix.dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_license_scan(spark, sf_dir):
     cols = "doc_id n_words n_base first_word last_word base_labels labels score".split()
     return licences.scan(documents(spark, sf_dir).select("doc_id", "text")).select(*cols)
 
 
-QUERIES = [op1_quality_rules, op2_byte_bpe, op5_substring_dedup, op6_simhash_groups, op7_source_mix, op8_token_counts, op10_license_scan]
+QUERIES = [op1_quality_rules, op2_byte_bpe, op5_substring_dedup, op6_simhash_groups, op7_source_mix, op8_token_counts, op9_suffix_dedup, op10_license_scan]
