@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, embed, licences, mixing, quality, simhash, substring, suffix, tokens
+from . import bpe, embed, licences, mixing, quality, simhash, substring, suffix, tokens, toxicity
 from .common import documents, stage_root
 from .oracle import ORACLE  # noqa: F401
 
@@ -22,6 +22,12 @@ def op2_byte_bpe(spark, sf_dir):
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_text=False)
 
 
+def op3_toxicity_chain(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    chain = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, chain).drop("text")
+
+
 def op4_embedding_groups(spark, sf_dir):
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return embed.near_duplicates(vectors).drop("embedding")
@@ -58,4 +64,4 @@ def op10_license_scan(spark, sf_dir):
     return licences.scan(documents(spark, sf_dir).select("doc_id", "text")).select(*cols)
 
 
-QUERIES = [op1_quality_rules, op2_byte_bpe, op4_embedding_groups, op5_substring_dedup, op6_simhash_groups, op7_source_mix, op8_token_counts, op9_suffix_dedup, op10_license_scan]
+QUERIES = [op1_quality_rules, op2_byte_bpe, op3_toxicity_chain, op4_embedding_groups, op5_substring_dedup, op6_simhash_groups, op7_source_mix, op8_token_counts, op9_suffix_dedup, op10_license_scan]
