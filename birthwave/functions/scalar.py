@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from statistics import NormalDist
 
 from pyspark.sql import Column
@@ -75,13 +76,31 @@ def lms_value(mu, sigma, nu, z, log_mu: bool = False) -> Column:
     return F.when(F.abs(nu) < 1e-8, centre * F.exp(sigma * z)).otherwise(power)
 
 
+def exact_t_quantile(df: int, z: float = Z975) -> float:
+    """Student-t quantile at the level of normal score z, by bisection on the finite series of its distribution."""
+    level, low, high = math.erf(z / math.sqrt(2)), 0.0, 1e3
+    for _ in range(200):
+        t = (low + high) / 2
+        angle = math.atan(t / math.sqrt(df))
+        sine, cosine = math.sin(angle), math.cos(angle)
+        term, total = (cosine, 0.0) if df % 2 else (1.0, 0.0)
+        for k in range(2 + df % 2, df + 1, 2):
+            total += term
+            term *= cosine * cosine * (k - 1) / k
+        inside = 2 / math.pi * (angle + sine * total) if df % 2 else sine * total
+        low, high = (t, high) if inside < level else (low, t)
+    return (low + high) / 2
+
+
 def t_quantile(df, z: float = Z975) -> Column:
-    """Student-t quantile by the Cornish-Fisher expansion around the normal one."""
-    d = as_col(df).cast("double")
+    """Student-t quantile: exact below 30 degrees of freedom, else by the Cornish-Fisher expansion; null without any."""
+    d = F.when(as_col(df) > 0, as_col(df).cast("double"))
+    few = F.array(*(F.lit(exact_t_quantile(k, z)) for k in range(1, 30)))
+    exact = F.when((d < 30) & (d == F.floor(d)), F.get(few, (d - 1).cast("int")))
     g1 = (z**3 + z) / 4
     g2 = (5 * z**5 + 16 * z**3 + 3 * z) / 96
     g3 = (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384
-    return F.lit(z) + F.lit(g1) / d + F.lit(g2) / (d * d) + F.lit(g3) / (d * d * d)
+    return F.coalesce(exact, F.lit(z) + F.lit(g1) / d + F.lit(g2) / (d * d) + F.lit(g3) / (d * d * d))
 
 
 def normal_cdf_positive_sql(t: str) -> str:

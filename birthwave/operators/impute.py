@@ -69,9 +69,12 @@ def posterior_draws(fixed: DataFrame, groups: DataFrame, imps: int, ridge: float
 
 
 def noisy_predictions(frame: DataFrame, drawn: DataFrame, imps: int, seed: int = 1) -> DataFrame:
-    """Prediction with residual noise for every row and imputation, observed rows included."""
+    """Prediction with residual noise for every row and imputation, observed rows included.
+
+    Rows of a birth group without a fitted effect keep their place with a null prediction.
+    """
     rows = frame.withColumn("imp", F.explode(F.sequence(F.lit(1), F.lit(imps))))
-    rows = join_summary(rows, drawn, ["imp", "birth"], "inner")
+    rows = join_summary(rows, drawn, ["imp", "birth"], "left")
     noise = F.col("sigma") * draws.normal("residual", F.lit(seed), "imp", "row_id")
     return rows.withColumn("yhat", F.col("a0") + F.col("a1") * F.col("age_s") + noise).drop("a0", "a1", "sigma")
 
@@ -83,9 +86,11 @@ def pmm(df: DataFrame, by: list[str], yhat: str, y: str, row_id: str, donors: in
     r can only have its nearest donors at positions r - donors + 1 to r +
     donors, so it meets those few by equi-join and never the whole group. At
     equal distance a donor at or below comes first, then the closer position.
+    A recipient without a prediction or without any donor gets null.
     """
     slim = df.select(*by, F.col(yhat).alias("_p"), F.col(y).isNull().cast("int").alias("_miss"), row_id, y)
-    ordered = range_ordered(slim, by, ["_p", "_miss", row_id], "pmm")
+    lost = slim.where("_miss = 1").select(*by, row_id)
+    ordered = range_ordered(slim.where("_p is not null"), by, ["_p", "_miss", row_id], "pmm")
     per_part = ordered.groupBy(*by, "_part").agg(F.sum(1 - F.col("_miss")).alias("_d"))
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_part.select(*by, "_part", F.coalesce(F.sum("_d").over(earlier), F.lit(0)).alias("_before"))
@@ -105,18 +110,23 @@ def pmm(df: DataFrame, by: list[str], yhat: str, y: str, row_id: str, donors: in
     )
     near = met.groupBy(*by, row_id).agg(F.slice(F.sort_array(F.collect_list(order)), 1, donors).alias("_near"))
     pick = F.floor(draws.uniform("donor", F.lit(seed), *by, row_id) * F.size("_near"))
-    return near.select(*by, row_id, F.get("_near", pick.cast("int"))["y"].alias("imputed"))
+    found = near.select(*by, row_id, F.get("_near", pick.cast("int"))["y"].alias("imputed"))
+    return lost.join(found, [*by, row_id], "left")
 
 
-def delta_statistics(observed: DataFrame, imputed: DataFrame, deltas) -> DataFrame:
+def delta_statistics(observed: DataFrame, imputed: DataFrame, deltas, imputations: int | None = None) -> DataFrame:
     """Sums per (delta, imputation, birth) after shifting imputed values by delta.
 
     ``observed`` holds sums per birth, ``imputed`` per (imp, birth); shifting
-    changes the sums by algebra, so rows are not copied per delta.
+    changes the sums by algebra, so rows are not copied per delta. With
+    ``imputations`` the numbers 1 to it are in the result even if nothing was imputed.
     """
     names = ["n", "sw", "swx", "swxx", "swy", "swxy", "swyy", "slw"]
-    imps = imputed.select("imp").distinct().agg(F.collect_list("imp").alias("imps"))
-    base = observed.withColumn("imp", F.explode(imps.scalar()))
+    if imputations is None:
+        numbers = imputed.select("imp").distinct().agg(F.collect_list("imp").alias("imps")).scalar()
+    else:
+        numbers = F.sequence(F.lit(1), F.lit(imputations))
+    base = observed.withColumn("imp", F.explode(numbers))
     both = base.join(imputed.select("imp", "birth", *[F.col(n).alias(f"i_{n}") for n in names]), ["imp", "birth"], "full")
     both = both.fillna(0.0).withColumn("diff", F.explode(F.array(*[F.lit(float(d)) for d in deltas])))
     d = F.col("diff")
@@ -160,7 +170,7 @@ def impute_and_shift(
     drawn = posterior_draws(fixed, fit.select(F.inline("groups")), params.imputations, params.ridge, params.seed)
     predicted = noisy_predictions(frame, drawn, params.imputations, params.seed)
     values = stage(pmm(predicted, ["imp"], "yhat", "bmi", "row_id", params.donors, params.seed), "imputed")
-    filled = frame.where(~F.col("obs")).drop("bmi").join(values, "row_id")
+    filled = frame.where(~F.col("obs")).drop("bmi").join(values, "row_id").where("imputed is not null")
     imputed = stage(frame_statistics(filled, "imputed", by=["imp"]), "imputed-sums")
     grid = frame.select("birth", "age", "age_s").distinct()
-    return values, pattern_mixture(delta_statistics(observed, imputed, deltas), grid)
+    return values, pattern_mixture(delta_statistics(observed, imputed, deltas, params.imputations), grid)

@@ -45,9 +45,12 @@ def poisson_draws(df: DataFrame, by: list[str], row_id: str, blocks: Column, see
 
 def poisson_bootstrap(df: DataFrame, by: list[str], row_id: str, reps: int, seed: int = 1) -> DataFrame:
     """Rows times replicates with a Poisson(1) count ``k``; replicate 0 is the sample."""
+    sample = df.withColumns({"boot": F.lit(0), "k": F.lit(1)})
+    if reps < 1:
+        return sample
     blocks = F.sequence(F.lit(0), replicate_block(F.lit(reps)))
     drawn = poisson_draws(df, by, row_id, blocks, seed).where(F.col("boot") <= reps)
-    return df.withColumns({"boot": F.lit(0), "k": F.lit(1)}).unionByName(drawn)
+    return sample.unionByName(drawn)
 
 
 def exact_bootstrap(df: DataFrame, by: list[str], row_id: str, reps: int, seed: int = 1) -> DataFrame:
@@ -56,6 +59,9 @@ def exact_bootstrap(df: DataFrame, by: list[str], row_id: str, reps: int, seed:
     Draws are made in chunks spread over the cluster and counted per drawn
     position; positions are global ranks, so no stratum sits in one task.
     """
+    sample = df.withColumns({"boot": F.lit(0), "k": F.lit(1)})
+    if reps < 1:
+        return sample
     ranked = global_rank(df, by, [row_id], "_idx")
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     chunks = (
@@ -73,7 +79,6 @@ def exact_bootstrap(df: DataFrame, by: list[str], row_id: str, reps: int, seed:
         .agg(F.count(F.lit(1)).cast("int").alias("k"))
     )
     drawn = ranked.join(counts, [*by, "_idx"]).drop("_idx")
-    sample = df.withColumns({"boot": F.lit(0), "k": F.lit(1)})
     return sample.unionByName(drawn)
 
 
@@ -85,6 +90,6 @@ def bootstrap(df: DataFrame, by: list[str], row_id: str, reps: int, seed: int =
 
 
 def replicate_weighted_mean(boot: DataFrame, by: list[str], y: str, w: str) -> DataFrame:
-    """Weighted mean per stratum and replicate."""
+    """Weighted mean per stratum and replicate; null where the weights sum to zero."""
     kw = F.col("k") * F.col(w)
-    return boot.groupBy(*by, "boot").agg((F.sum(kw * F.col(y)) / F.sum(kw)).alias("value"))
+    return boot.groupBy(*by, "boot").agg((F.sum(kw * F.col(y)) / F.nullif(F.sum(kw), F.lit(0))).alias("value"))

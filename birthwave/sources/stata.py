@@ -13,7 +13,7 @@ _CHUNK = 100_000
 
 
 def read_stata(spark: SparkSession, paths: str, schema: StructType) -> DataFrame:
-    """Rows of Stata files as codes, columns matched to ``schema`` by name, absent ones null.
+    """Rows of Stata files as codes, columns matched to ``schema`` by name in lower case, absent ones null.
 
     ``schema`` may include ``path`` for the source file.
     """
@@ -24,6 +24,9 @@ def read_stata(spark: SparkSession, paths: str, schema: StructType) -> DataFrame
             for path, content in zip(files["path"], files["content"]):
                 with pd.read_stata(io.BytesIO(content), convert_categoricals=False, chunksize=_CHUNK) as reader:
                     for chunk in reader:
+                        chunk.columns = chunk.columns.str.lower()
+                        if chunk.columns.has_duplicates:
+                            raise ValueError(f"{path}: columns differ in case only")
                         chunk["path"] = path
                         yield chunk.reindex(columns=names)
 

@@ -35,6 +35,10 @@ def scan_columns(df: DataFrame, any_of: list[str], matches: str | None = None) -
     return df.select(*[F.col(f"`{c}`").alias(n) for n, c in pick_columns(df.columns, any_of, matches).items()])
 
 
+# Bits of a row id: wave, 18 for the file, 33 for the row in it.
+_MAX_FILES = 1 << 18
+
+
 def scan_wave(spark: SparkSession, path: str, fld: str) -> DataFrame:
     """Raw rows of one wave with its folder, wave number and a stable row id.
 
@@ -52,7 +56,8 @@ def scan_wave(spark: SparkSession, path: str, fld: str) -> DataFrame:
         *[F.col(f"`{c}`").try_cast("double" if n in _REAL else "int").alias(n) for n, c in found.items()],
     )
     rows = join_summary(rows, files, ["_file"])
-    row_id = F.shiftleft(F.lit(wave).cast("bigint"), 51) + F.shiftleft("_no", 33) + F.col("_index")
+    number = F.when(F.col("_no") < _MAX_FILES, F.col("_no")).otherwise(F.raise_error(F.lit(f"{path}: more files than row ids allow")).cast("bigint"))
+    row_id = F.shiftleft(F.lit(wave).cast("bigint"), 51) + F.shiftleft(number, 33) + F.col("_index")
     return rows.select(
         row_id.alias("row_id"), F.lit(fld).alias("fld"), F.lit(wave).alias("wave"),
         *found, F.lit("wt_int" in found).alias("has_wt_int"),
