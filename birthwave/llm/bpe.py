@@ -30,10 +30,11 @@ from pyspark.sql import functions as F
 
 from .common import carry, outputs, sub_batches
 
-MEMO = 200_000  # pieces and chunks remembered by a task
-GROUP_CHARS = 400_000  # characters of pieces encoded by one recursive query
+PIECES, CHUNKS = 300_000, 100_000  # remembered by a task
+GROUP_CHARS = 100_000  # characters of pieces encoded by one recursive query
 LONG = 200  # characters of a long piece
-DECODE_ROWS = 400  # documents decoded by one query
+STEP_BYTES = 1 << 20  # text encoded and decoded at a time
+DECODE_ROWS = 200  # documents decoded by one query
 ROUNDS = 48  # contractions per recursive query, which bounds its result
 
 # Characters with the White_Space property.
@@ -44,22 +45,26 @@ ODD_SPACE = re.compile(r"[^\S \t\r\n]|[\x1c-\x1f᠎​-‍⁠﻿]")
 
 # What is left of each piece: the rows of its last round.
 LAST = """
-SELECT w, max(round) AS rounds, list(tok ORDER BY pos) AS ids
-FROM (SELECT s.* FROM state s JOIN (SELECT w, max(round) AS last FROM state GROUP BY w) l ON s.w = l.w AND s.round = l.last) GROUP BY w
+SELECT s.w, s.tok, s.round FROM state s JOIN (SELECT w, max(round) AS last FROM state GROUP BY w) l ON s.w = l.w AND s.round = l.last ORDER BY pos
 """
 
-# One contraction a round: k orders the pairs of a piece by rank, then from the left; the row behind the pair goes.
+# One contraction a round. k orders the pairs of a piece by rank, then from the left. The row behind the pair goes; the
+# rows of the pair and before it get a new neighbour. Positions rise over all pieces, so one names a row.
 CONTRACT = f"""
-WITH RECURSIVE state(w, pos, tok, round) AS (
-  SELECT w, pos, tok, 0 FROM tokens
+WITH RECURSIVE state(w, pos, tok, nxt, npos, k, round) AS (
+  SELECT w, pos, tok, nxt, npos, (m.id::BIGINT << 32) + pos, 0 FROM tokens t LEFT JOIN merges m ON m.a = t.tok AND m.b = t.nxt
   UNION ALL
-  (WITH p AS MATERIALIZED (
-    SELECT s.w, s.pos, s.tok, s.round, s.npos, (m.id::BIGINT << 32) + s.pos AS k FROM (
-      SELECT *, lead(tok) OVER o AS nxt, lead(pos) OVER o AS npos FROM state WINDOW o AS (PARTITION BY w ORDER BY pos)
-    ) s LEFT JOIN merges m ON m.a = s.tok AND m.b = s.nxt
-  ), b AS (SELECT w, min(k) AS best, arg_min(npos, k) AS gone FROM p WHERE k IS NOT NULL GROUP BY w)
-  SELECT p.w, p.pos, CASE WHEN p.k = b.best THEN (p.k >> 32)::INT ELSE p.tok END, p.round + 1
-  FROM p JOIN b USING (w) WHERE p.pos <> b.gone AND p.round < {ROUNDS})
+  (WITH b AS (
+    SELECT w, min(k) AS best, arg_min(npos, k) AS gone FROM state WHERE k IS NOT NULL AND round < {ROUNDS} GROUP BY w
+  ), c AS (
+    SELECT b.w, (best >> 32)::INT AS r, (best & 4294967295)::INT AS p, gone, g.nxt AS gnxt, g.npos AS gnpos FROM b JOIN state g ON g.pos = b.gone
+  ), s AS (
+    SELECT s.w, s.pos, CASE WHEN s.pos = p THEN r ELSE s.tok END AS tok,
+      CASE WHEN s.pos = p THEN gnxt WHEN s.npos = p THEN r ELSE s.nxt END AS nxt,
+      CASE WHEN s.pos = p THEN gnpos ELSE s.npos END AS npos, s.round + 1 AS round
+    FROM state s JOIN c USING (w) WHERE s.pos <> gone
+  )
+  SELECT s.w, s.pos, s.tok, s.nxt, s.npos, (m.id::BIGINT << 32) + s.pos, s.round FROM s LEFT JOIN merges m ON m.a = s.tok AND m.b = s.nxt)
 ) {LAST}
 """
 
@@ -94,6 +99,10 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
 
 
+def sha256(data: bytes) -> str:
+    return hashlib.sha256(data).hexdigest()
+
+
 def valid(token: bytes) -> bool:
     try:
         return bool(token.decode())
@@ -112,10 +121,13 @@ class Codec:
 
     def __init__(self, data: bytes, pattern: str):
         ranks = read_ranks(data)
-        self.pattern, self.byte = piece_pattern(pattern), [ranks[bytes([i])] for i in range(256)]
-        self.whole = {t.decode(): (r,) for t, r in ranks.items() if valid(t)}
+        self.pattern = piece_pattern(pattern)
+        self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        self.whole = {t.decode(): np.int32(r).tobytes() for t, r in ranks.items() if valid(t)}
+        self.names = [str(i) for i in range(max(ranks.values()) + 1)]
+        self.pieces: dict[str, bytes] = {}
         self.forget()
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "150MB"})
         pairs = [
             (ranks[t[:i]], ranks[t[i:]], r)
             for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks
@@ -132,29 +144,31 @@ class Codec:
         self.con.unregister("given")
 
     def forget(self) -> None:
-        """Empty the memo: pieces with their ids; chunks as stretches of one array of ids."""
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        """Empty the memo of chunks: stretches of one array of ids."""
         self.chunks: dict[str, int] = {}
         self.flat, self.starts = array("i"), array("q", [0])
 
-    def _contract(self, pieces: list[bytes], query: str = CONTRACT) -> list[tuple[int, ...]]:
-        """Ids of distinct pieces; those with more contractions than ``ROUNDS`` go on in a further query."""
-        out: list[tuple[int, ...]] = [()] * len(pieces)
-        todo = {i: [self.byte[x] for x in p] for i, p in enumerate(pieces)}
-        while todo:
-            lengths = np.fromiter(map(len, todo.values()), np.int32, len(todo))
-            w = np.repeat(np.fromiter(todo, np.int32, len(todo)), lengths)
-            pos = np.arange(len(w), dtype=np.int32)  # rises within a piece
-            tok = np.fromiter((t for ids in todo.values() for t in ids), np.int32, len(w))
-            self.con.register("tokens", pa.table({"w": w, "pos": pos, "tok": tok}))
-            rows = self.con.execute(query).fetchall()
+    def _contract(self, pieces: list[bytes], query: str = CONTRACT) -> list[bytes]:
+        """Ids of distinct pieces as packed integers; those with more contractions than ``ROUNDS`` go on in a further query."""
+        out = [b""] * len(pieces)
+        which, lengths = np.arange(len(pieces), dtype=np.int32), np.fromiter(map(len, pieces), np.int64, len(pieces))
+        tok = self.byte[np.frombuffer(b"".join(pieces), np.uint8)]
+        while len(which):
+            w, pos = np.repeat(which, lengths), np.arange(len(tok), dtype=np.int32)
+            last = np.zeros(len(tok), bool)
+            last[np.cumsum(lengths) - 1] = True
+            nxt, npos = pa.array(np.roll(tok, -1), mask=last), pa.array(pos + 1, mask=last)
+            self.con.register("tokens", pa.table({"w": w, "pos": pos, "tok": tok, "nxt": nxt, "npos": npos}))
+            rows = self.con.execute(query).fetchnumpy()
             self.con.unregister("tokens")
-            todo = {}
-            for i, rounds, ids in rows:
-                if rounds == ROUNDS:
-                    todo[i] = ids
-                else:
-                    out[i] = tuple(ids)
+            w, tok, open_ = (np.asarray(rows[k]) for k in ("w", "tok", "round"))
+            tok, open_ = tok.astype(np.int32), open_ == ROUNDS
+            starts = np.concatenate([[0], np.flatnonzero(w[1:] != w[:-1]) + 1])
+            stops, raw = np.concatenate([starts[1:], [len(w)]]), tok.tobytes()
+            for i, a, b in zip(w[starts].tolist(), (4 * starts).tolist(), (4 * stops).tolist()):
+                out[i] = raw[a:b]
+            more = open_[starts]
+            which, lengths, tok = w[starts][more].astype(np.int32), (stops - starts)[more], tok[open_]
         return out
 
     def _remember(self, pieces: list[str]) -> None:
@@ -176,15 +190,17 @@ class Codec:
 
     def encode(self, texts: list[str]) -> pa.ListArray:
         """Ids of each text."""
-        if len(self.chunks) > MEMO:
+        if len(self.chunks) > CHUNKS:
             self.forget()
+        if len(self.pieces) > PIECES:
+            self.pieces = {}
         parts = [self.parts(t) for t in texts]
         new = {c: self.pattern.findall(c) for c in {c for ps in parts for c in ps}.difference(self.chunks)}
         self._remember(list({p for ps in new.values() for p in ps}.difference(self.pieces)))
         for c, ps in new.items():
             self.chunks[c] = len(self.starts) - 1
             for p in ps:
-                self.flat.extend(self.pieces[p])
+                self.flat.frombytes(self.pieces[p])
             self.starts.append(len(self.flat))
         index = np.fromiter((self.chunks[c] for ps in parts for c in ps), np.int64, sum(map(len, parts)))
         flat, starts = np.frombuffer(self.flat, np.int32) if self.flat else np.zeros(0, np.int32), np.frombuffer(self.starts, np.int64)
@@ -200,6 +216,10 @@ class Codec:
         """Stretches that no piece crosses: white space with the word behind it."""
         return [text] if ODD_SPACE.search(text) else CHUNK.findall(text)
 
+    def listed(self, ids: pa.ListScalar) -> bytes:
+        """Decimal ids joined by one space."""
+        return " ".join([self.names[i] for i in ids.values.to_pylist()]).encode()
+
     def decode(self, ids: pa.ListArray) -> list[bytes]:
         self.con.register("encoded", pa.table({"d": pa.array(range(len(ids)), pa.int32()), "ids": ids}))
         out = [b""] * len(ids)
@@ -233,7 +253,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep_te
 
     def run(batches):
         own = codec(data.value, pattern)
-        for batch in sub_batches(batches, "_text"):
+        for batch in sub_batches(batches, "_text", STEP_BYTES):
             ids = own.encode(batch.column("_text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("_row"), ids], names=["_row", "ids"])
 
@@ -258,13 +278,26 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids") -> Dat
     return df.mapInArrow(run, f"_row {row}, decoded binary").select(*outputs(encoded.columns, {"decoded": F.col("decoded")}))
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", keep_text: bool = True) -> DataFrame:
-    """Input columns with the number and digest of the ids and the digest of the bytes decoded from them."""
-    both = decode(encode(docs, path, pattern, text, keep_text), path, pattern)
-    made = {
-        "n_tokens": F.size("ids").cast("long"),
-        "ids_sha256": F.sha2(F.array_join("ids", " "), 256),
-        "decoded_sha256": F.sha2("decoded", 256),
-    }
-    kept = [F.col(c) for c in docs.columns if c.lower() not in {*made, "ids", "decoded"} and (keep_text or c != text)]
-    return both.select(*kept, *(v.alias(k) for k, v in made.items()))
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", keep_text: bool = True, keep_ids: bool = False) -> DataFrame:
+    """Input columns with the number and digest of the ids and the digest of the bytes decoded from them.
+
+    Both steps run in one Python worker per task, as each worker holds a codec.
+    """
+    data = vocabulary(docs.sparkSession, path)
+    kept = [c for c in docs.columns if keep_text or c != text]
+    df = docs.select(F.struct(*(docs[c] for c in kept)).alias("_row"), F.coalesce(docs[text], F.lit("")).alias("_text"))
+    made = {"ids": "array<int>"} if keep_ids else {}
+    made |= {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
+
+    def run(batches):
+        own = codec(data.value, pattern)
+        for batch in sub_batches(batches, "_text", STEP_BYTES):
+            ids = own.encode(batch.column("_text").to_pylist())
+            lists = {"ids": ids, "n_tokens": ids.value_lengths().cast(pa.int64())}
+            lists["ids_sha256"] = pa.array([sha256(own.listed(x)) for x in ids])
+            lists["decoded_sha256"] = pa.array([sha256(x) for x in own.decode(ids)])
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), *(lists[k] for k in made)], names=["_row", *made])
+
+    row = df.schema["_row"].dataType.simpleString()
+    rows = df.mapInArrow(run, ", ".join([f"_row {row}", *(f"{k} {v}" for k, v in made.items())]))
+    return rows.select(*outputs(kept, {k: F.col(k) for k in made}))
