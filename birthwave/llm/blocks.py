@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK_BYTES = 2 << 20
 BUCKET_BYTES = 32 << 20  # text behind the digests of one bucket
@@ -40,7 +41,10 @@ class Layout:
             F.pmod(where, F.lit(self.blocks)).alias("blk"), docs[doc_id].cast("long").alias("_doc"),
             F.coalesce(docs[text], F.lit("")).alias("_text"), rest.alias("_rest"),
         ).repartition(self.parts, "blk")
-        self.rest_type = self.rows.schema["_rest"].dataType.simpleString()
+
+    def schema(self, made: list[tuple[str, T.DataType]]) -> T.StructType:
+        """``_rest`` as it is, followed by the made columns."""
+        return T.StructType([self.rows.schema["_rest"], *(T.StructField(n, t) for n, t in made)])
 
     def send(self, run, fields: str) -> DataFrame:
         """Digests of each block, from ``run(block rows)``."""
@@ -50,7 +54,7 @@ class Layout:
         """What each bucket tells the blocks, from ``run(bucket rows)``."""
         return sent.groupBy("bucket").applyInArrow(run, f"blk long, {fields}")
 
-    def meet(self, answers: DataFrame, run, schema: str) -> DataFrame:
+    def meet(self, answers: DataFrame, run, schema: str | T.StructType) -> DataFrame:
         """``run(block rows, answers to the block)`` per block."""
         return self.rows.groupBy("blk").cogroup(answers.groupBy("blk")).applyInArrow(run, schema)
 

@@ -173,16 +173,37 @@ def prefix_links(fps: DataFrame, errors: int, subtree: int) -> DataFrame:
     return near.groupBy("low", "high").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, errors: int = ERRORS, subtree: int = SUBTREE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Input columns but the text, with ``fingerprint`` (16 hex digits) and ``component_id``."""
-    marked = stage(carry(fingerprints(docs, text), doc_id, "fp"), "simhash")
-    marked = marked.select("_row", F.col(f"_{doc_id}").alias("_id"), "_fp")
-    distinct = stage(marked.groupBy("_fp").agg(F.min("_id").alias("least")), "simhash-classes")
+def grouped(marked: DataFrame, errors: int, subtree: int) -> DataFrame:
+    """``_class, component`` (a fingerprint of the group) of each fingerprint ``_fp`` of the staged rows."""
+    distinct = stage(marked.select("_fp").distinct(), "simhash-classes")
     linked = components(prefix_links(distinct.select(F.col("_fp").alias("fp")), errors, subtree))
     classes = distinct.join(linked, F.col("_fp") == F.col("node"), "left")
-    classes = stage(classes.select("_fp", "least", F.coalesce("component", "_fp").alias("component")), "simhash-components")
-    ids = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = classes.join(ids, "component").select(F.col("_fp").alias("_class"), "component_id")
+    return stage(classes.select(F.col("_fp").alias("_class"), F.coalesce("component", "_fp").alias("component")), "simhash-components")
+
+
+def near_duplicates(
+    docs: DataFrame, errors: int = ERRORS, shingle: int = SHINGLE, subtree: int = SUBTREE, text: str = "text", doc_id: str = "doc_id"
+) -> DataFrame:
+    """Input columns but the text, with ``fingerprint`` (16 hex digits) and ``component_id``."""
+    marked = stage(carry(fingerprints(docs, text, shingle), doc_id, "fp").withColumnRenamed(f"_{doc_id}", "_id"), "simhash")
+    groups = grouped(marked, errors, subtree)
+    least = marked.groupBy("_fp").agg(F.min("_id").alias("least")).join(groups, F.col("_fp") == F.col("_class"))
+    ids = stage(least.groupBy("component").agg(F.min("least").alias("component_id")), "simhash-ids")
+    labels = groups.join(ids, "component").select("_class", "component_id")
     rows = marked.join(labels, F.col("_fp") == F.col("_class"))
     made = {"fingerprint": F.lpad(F.lower(F.hex("_fp")), 16, "0"), "component_id": F.col("component_id")}
     return rows.select(*outputs([c for c in docs.columns if c != text], made))
+
+
+def keep_first(
+    docs: DataFrame, errors: int = ERRORS, shingle: int = SHINGLE, subtree: int = SUBTREE, text: str = "text", doc_id: str = "doc_id"
+) -> DataFrame:
+    """One row of each group, that of the least id (null last; of repeated ids any one), with the input columns."""
+    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_doc"), docs[doc_id].alias("_id"), docs[text].alias("_text"))
+    marked = fingerprints(packed, "_text", shingle).withColumnRenamed("fp", "_fp")
+    # Written with a number per row, so that later reads agree on it.
+    marked = stage(marked.withColumn("_n", F.monotonically_increasing_id()), "simhash-rows")
+    first = F.struct(F.col("_id").isNull(), "_id", "_n")
+    best = marked.groupBy("_fp").agg(F.min(first).alias("first")).join(grouped(marked, errors, subtree), F.col("_fp") == F.col("_class"))
+    kept = best.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first._n").alias("_n"))
+    return marked.join(kept, "_n", "left_semi").select("_doc.*")

@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .blocks import BLOCK_BYTES, U64, Layout, ids_of, mix, runs_of, texts_of, to_blocks, to_buckets, unpacked
 
@@ -145,26 +146,48 @@ def removed_words(words: Words, high: np.ndarray, low: np.ndarray) -> np.ndarray
     return np.cumsum(step)[: len(words.hash)] > 0
 
 
-def cut(key, table, answers):
-    words = Words(table)
-    high, _ = unpacked(answers.column("high"), "<u8")
-    low, _ = unpacked(answers.column("low"), "<u4")
-    gone = removed_words(words, high, low)
-    removed, kept = [], []
-    for ws, first in zip(words.split, words.first.tolist()):
-        mask = gone[first : first + len(ws)]
-        removed.append(int(mask.sum()))
-        kept.append(b" ".join([w for w, g in zip(ws, mask.tolist()) if not g] if removed[-1] else ws).decode())
-    return pa.table({"_rest": table.column("_rest"), "n_words": words.n, "n_removed": pa.array(removed, pa.int64()), "kept_text": kept})
+def cut(as_given: bool):
+    """Remove the repeated words; with ``as_given`` a text that loses none keeps its white space."""
 
+    def run(key, table, answers):
+        words = Words(table)
+        high, _ = unpacked(answers.column("high"), "<u8")
+        low, _ = unpacked(answers.column("low"), "<u4")
+        gone = removed_words(words, high, low)
+        removed, kept = [], []
+        texts = texts_of(table)
+        for text, ws, first in zip(texts, words.split, words.first.tolist()):
+            mask = gone[first : first + len(ws)]
+            removed.append(int(mask.sum()))
+            if as_given and not removed[-1]:
+                kept.append(text.decode())
+            else:
+                kept.append(b" ".join([w for w, g in zip(ws, mask.tolist()) if not g] if removed[-1] else ws).decode())
+        return pa.table({"_rest": table.column("_rest"), "n_words": words.n, "n_removed": pa.array(removed, pa.int64()), "kept_text": kept})
+
+    return run
 
-def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+
+def dedup(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block_bytes: int = BLOCK_BYTES, as_given: bool = False
+) -> DataFrame:
     """Input columns but the text, with ``n_words``, ``n_removed`` and ``kept_text`` (the kept words joined by one space)."""
     layout = Layout(docs, text, doc_id, block_bytes)
     shared = layout.answer(layout.send(send_anchors(layout.buckets), "anchor binary"), shared_anchors, "anchor binary")
     windows = layout.meet(shared, send_windows(layout.buckets), "bucket long, blk long, high binary, low binary, least binary")
     fields = "high binary, low binary"
     answers = layout.answer(windows.repartition(layout.parts, "bucket"), repeated_windows, fields)
-    rows = layout.meet(answers, cut, f"_rest {layout.rest_type}, n_words long, n_removed long, kept_text string")
-    made = ("n_words", "n_removed", "kept_text")
+    made = {"n_words": T.LongType(), "n_removed": T.LongType(), "kept_text": T.StringType()}
+    rows = layout.meet(answers, cut(as_given), layout.schema(list(made.items())))
     return rows.select(*(F.col("_rest").getField(c).alias(c) for c in layout.kept if c.lower() not in made), *made)
+
+
+def keep_rest(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n_chars: str | None = None, **options) -> DataFrame:
+    """The input columns with the repeated words gone from the text (and the length in ``n_chars`` set);
+    rows that lose all their words are dropped, rows that lose none stay as they are."""
+    packed = docs.select(F.struct(*(docs[c] for c in docs.columns if c != text)).alias("_doc"), docs[doc_id].alias("_id"), docs[text].alias("_text"))
+    left = dedup(packed, "_text", "_id", as_given=True, **options).filter("n_removed = 0 OR n_removed < n_words")
+    made = {c: F.col("_doc").getField(c) for c in docs.columns if c != text} | {text: F.col("kept_text")}
+    if n_chars is not None:
+        made[n_chars] = F.when(F.col("n_removed") > 0, F.length("kept_text").cast(docs.schema[n_chars].dataType)).otherwise(made[n_chars])
+    return left.select(*(made[c].alias(c) for c in docs.columns))

@@ -1,13 +1,23 @@
-"""The training-data pipeline: five stages over ``documents``, each written and read again."""
+"""The training-data pipeline: five stages over ``documents``, each written and read again.
+
+SQL cannot express the chain (SimHash groups, byte-level BPE), so there is no
+twin; a brute-force version of the first four stages and the tokenizer library
+check it on small tables.
+"""
 
 from __future__ import annotations
 
 import uuid
 
-from birthwave.llm import mixing, quality
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from birthwave.llm import bpe, mixing, quality, simhash, substring
 from birthwave.llm.common import documents, stage_root
 
 ORACLE_SQL = None
+# Shingles of five words. A changed word changes a quarter more of them than of four, so the budget is five bits.
+SHINGLE, ERRORS = 5, 5
 
 
 def quality_stage(spark, docs, sf_dir):
@@ -15,12 +25,33 @@ def quality_stage(spark, docs, sf_dir):
     return quality.keep(docs)
 
 
+def simhash_stage(spark, docs, sf_dir):
+    """One document of each group of near-duplicates."""
+    return simhash.keep_first(docs, errors=ERRORS, shingle=SHINGLE)
+
+
+def substring_stage(spark, docs, sf_dir):
+    """Texts without word windows that a smaller document has; emptied documents go."""
+    return substring.keep_rest(docs, n_chars="n_chars")
+
+
 def mix_stage(spark, docs, sf_dir):
     """Each document as often as the mix takes it."""
     return mixing.repeated(docs)
 
 
-STAGES = [("quality", quality_stage), ("mix", mix_stage)]
+def token_stage(spark, docs, sf_dir):
+    """Token ids instead of the text, their digest, and the digest of the bytes decoded from them."""
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_text=False, keep_ids=True)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("simhash", simhash_stage),
+    ("substring", substring_stage),
+    ("mix", mix_stage),
+    ("tokens", token_stage),
+]
 
 
 def run(spark, sf_dir):
