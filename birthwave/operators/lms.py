@@ -30,7 +30,7 @@ _NU_FLOOR = 1e-4
 # Pairs of parameters whose information is summed.
 _BLOCKS = ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))
 _STATE = (
-    "no bigint, boot int, coef array<double>, trial array<double>, dir array<double>, "
+    "no bigint, boot int, coef array<double>, trial array<double>, dir array<double>, grad array<double>, curve array<double>, "
     "step double, loglik double, cycles int, status string"
 )
 
@@ -73,7 +73,7 @@ def score_columns(rows: DataFrame, y: str, terms: list[str], mu_link: str = "ide
         {"z": "(exp(v * lg) - 1D) / (v * s)", "cdf": f"if(t > 6, 1D, {cdf})"},
         {"h": f"if(t > 6, 0D, {(2 * np.pi) ** -0.5!r}D * exp(-0.5D * t * t) / cdf)"},
         {
-            "ll": f"(v - 1D) * ln({y}) - v * ln(m) - ln(s) - 0.5D * z * z - ln(cdf)",
+            "ll": f"{float(-0.5 * np.log(2 * np.pi))!r}D + (v - 1D) * ln({y}) - v * ln(m) - ln(s) - 0.5D * z * z - ln(cdf)",
             "g0": f"(z / s + v * (z * z - 1D)) / m * {chain}",
             "g1": "z * z - 1D + h * t",
             "g2": "lg - z * ((1D + v * s * z) * lg / (v * s) - z / v) + signum(v) * h / (s * v * v)",
@@ -106,8 +106,8 @@ def score_sums(scored: DataFrame, by: list[str], weight: str, terms: list[str])
     return rows.groupBy(*by).agg(*[F.expr(e) for e in sums])
 
 
-def _direction(row, p: int) -> tuple[np.ndarray, float]:
-    """Scoring direction and the gain it promises; the design is the same in all blocks."""
+def _gradient_and_information(row, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """Score and expected information; the design is the same in all blocks."""
     g = np.array([getattr(row, f"g{b}_{i}") for b in range(3) for i in range(p)])
     info = np.zeros((3 * p, 3 * p))
     for b, c in _BLOCKS:
@@ -117,38 +117,68 @@ def _direction(row, p: int) -> tuple[np.ndarray, float]:
                 for u, v in ((i, j), (j, i)):
                     info[b * p + u, c * p + v] = info[c * p + v, b * p + u] = value
     scale = np.sqrt(np.where(np.diag(info) > 0, np.diag(info), 1.0))
-    scaled = info / np.outer(scale, scale)
-    if np.linalg.eigvalsh(scaled)[0] < -1e-8:
+    if np.linalg.eigvalsh(info / np.outer(scale, scale))[0] < 1e-8:
         # Far from the solution the joint information may be indefinite; its blocks never are.
-        scaled = np.where(np.kron(np.eye(3), np.ones((p, p))) > 0, scaled, 0.0)
-    step = np.linalg.lstsq(scaled, g / scale, rcond=1e-9)[0] / scale
+        info = np.where(np.kron(np.eye(3), np.ones((p, p))) > 0, info, 0.0)
+    return g, info
+
+
+def _direction(curve: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, float]:
+    """Direction of a quadratic model and the gain it promises."""
+    scale = np.sqrt(np.where(np.diag(curve) > 0, np.diag(curve), 1.0))
+    step = np.linalg.lstsq(curve / np.outer(scale, scale), g / scale, rcond=1e-9)[0] / scale
     return step, float(g @ step)
 
 
+def _secant(curve: np.ndarray, moved: np.ndarray, change: np.ndarray) -> np.ndarray:
+    """Curvature updated by what the gradient did over the last step; unchanged if that was not concave."""
+    along = curve @ moved
+    inner, outer = float(moved @ change), float(moved @ along)
+    if outer <= 0 or inner <= 1e-8 * outer:
+        return curve
+    return curve - np.outer(along, along) / outer + np.outer(change, change) / inner
+
+
 def _advance(p: int, tol: float, max_passes: int):
-    """Next state per key from the sums at its trial point: accept, or halve the step."""
+    """Next state per key from the sums at its trial point: accept and bend the model, or shorten the step.
+
+    The first model is the expected information. As it is only near to the
+    curvature of the likelihood, accepted steps correct it by secants, and a
+    step that lost is shortened to the top of the parabola through both ends.
+    """
 
     def one(row) -> tuple:
         coef, step, old = np.asarray(row.coef), row.step, row.loglik
         trial, cycles = np.asarray(row.trial), row.cycles + 1
         direction, status = np.asarray(row.dir), "run"
+        grad, curve = np.asarray(row.grad), np.asarray(row.curve)
         if row.n is None or np.isnan(row.n):
-            return row.no, row.boot, coef, trial, direction, step, old, cycles, "empty"
+            return row.no, row.boot, coef, trial, direction, grad, curve, step, old, cycles, "empty"
         new = row.new_loglik
         first = np.isnan(old)
         if np.isfinite(new) and (first or new >= old - 1e-10 * abs(old)):
-            direction, promised = _direction(row, p)
-            coef, settled = trial, not first and step == 1.0 and 2 * (new - old) < tol
-            old, step = new, 1.0 if first else min(1.0, 2 * step)
+            g, info = _gradient_and_information(row, p)
+            if first:
+                matrix = curve.reshape(3 * p, 3 * p) if curve.any() else info
+            else:
+                matrix = _secant(curve.reshape(3 * p, 3 * p), trial - coef, grad - g)
+            direction, promised = _direction(matrix, g)
+            if not promised > 0:
+                matrix = info
+                direction, promised = _direction(matrix, g)
+            settled = not first and step == 1.0 and 2 * (new - old) < tol
+            coef, grad, curve, old, step = trial, g, matrix.ravel(), new, 1.0
             if settled or promised < 0.1 * tol:
                 status = "converged"
         else:
-            step = step / 4
-            if first or step < 1e-4:
+            slope = float(grad @ direction) * step
+            lost = old - new if np.isfinite(new) else np.inf
+            step *= float(np.clip(0.5 * slope / (slope + lost), 0.1, 0.5)) if np.isfinite(lost) else 0.25
+            if first or step < 1e-6:
                 status = "stalled"
         if status == "run" and cycles >= max_passes:
             status = "unfinished"
-        return row.no, row.boot, coef, coef + step * direction, direction, step, old, cycles, status
+        return row.no, row.boot, coef, coef + step * direction, direction, grad, curve, step, old, cycles, status
 
     names = [field.split()[0] for field in _STATE.split(", ")]
 
@@ -207,13 +237,14 @@ def fit_lms(
     seed: int = 1,
     mu_link: str = "identity",
     tol: float = 1e-3,
-    max_passes: int = 20,
+    max_passes: int = 40,
 ) -> DataFrame:
     """Coefficients per stratum, replicate, parameter and term.
 
     Replicate 0 is the sample itself; the others are Poisson bootstraps that
-    start from its solution and so need few passes. Keys that did not converge
-    within ``max_passes`` stay in the result with ``converged`` false.
+    start from its solution and curvature and so need few passes. Keys that did
+    not converge within ``max_passes`` (a bound that should not bind) stay in the
+    result with ``converged`` false and null coefficients.
     """
     p = len(terms) + 1
     base = df.select(
@@ -239,23 +270,25 @@ def fit_lms(
         centre, *zeros, F.log(F.greatest(F.coalesce("_cv", F.lit(0.0)), F.lit(0.01))), *zeros, F.lit(-0.5), *zeros
     )
 
-    def fresh(keys: DataFrame, coef: Column) -> DataFrame:
+    def fresh(keys: DataFrame, coef: Column, curve: Column) -> DataFrame:
         return keys.select(
             "no", "boot", coef.alias("coef"), coef.alias("trial"),
-            F.array_repeat(F.lit(0.0), 3 * p).alias("dir"), F.lit(1.0).alias("step"),
+            F.array_repeat(F.lit(0.0), 3 * p).alias("dir"), F.array_repeat(F.lit(0.0), 3 * p).alias("grad"),
+            curve.alias("curve"), F.lit(1.0).alias("step"),
             F.lit(float("nan")).alias("loglik"), F.lit(0).alias("cycles"), F.lit("run").alias("status"),
         )
 
-    state = fresh(strata.withColumn("boot", F.lit(0)), start)
+    state = fresh(strata.withColumn("boot", F.lit(0)), start, F.array_repeat(F.lit(0.0), 9 * p * p))
     state = _iterate(base, state, terms, mu_link, tol, max_passes, False, seed)
     if reps:
         again = state.drop("boot").withColumn("boot", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-        again = stage(fresh(again, F.col("coef")), "lms-state")
+        again = stage(fresh(again, F.col("coef"), F.col("curve")), "lms-state")
         state = state.unionByName(_iterate(base, again, terms, mu_link, tol, max_passes, True, seed))
     base.unpersist()
     names = ["(Intercept)", *terms]
+    beta = F.when(F.col("status") == "converged", F.col("coef"))
     cells = [
-        F.struct(F.lit(PARAMS[b]).alias("param"), F.lit(t).alias("term"), F.col("coef")[b * p + i].alias("beta"))
+        F.struct(F.lit(PARAMS[b]).alias("param"), F.lit(t).alias("term"), beta[b * p + i].alias("beta"))
         for b in range(3) for i, t in enumerate(names)
     ]
     out = state.join(strata.select("no", *by), "no").withColumn("_c", F.explode(F.array(*cells)))

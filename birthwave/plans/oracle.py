@@ -230,9 +230,23 @@ _SCORE = SPLINE + """, rr AS (
   SELECT stw.*, ns1, ns2, 25 + 3 * ns1 - 0.4e0 * ns2 AS m, exp(-1.9e0 + 0.1e0 * ns1 + 0.02e0 * ns2) AS s, -0.5e0 + 0.2e0 * ns1 + 0.1e0 * ns2 AS v
   FROM stw JOIN basis USING (cohort, stratum, age)),
 zz AS (SELECT *, (power(bmi / m, v) - 1) / (v * s) AS z, ln(bmi / m) AS lg FROM rr),
-gg AS (SELECT *, (v - 1) * ln(bmi) - v * ln(m) - ln(s) - z * z / 2 AS ll, (z / s + v * (z * z - 1)) / m AS g0, z * z - 1 AS g1,
+gg AS (SELECT *, -0.5e0 * ln(2 * pi()) + (v - 1) * ln(bmi) - v * ln(m) - ln(s) - z * z / 2 AS ll, (z / s + v * (z * z - 1)) / m AS g0, z * z - 1 AS g1,
   lg - z * ((1 + v * s * z) * lg / (v * s) - z / v) AS g2 FROM zz)"""
 
+
+
+def _score_sums() -> str:
+    """All gradient and information sums of a pass with two terms."""
+    x = ["1", "ns1", "ns2"]
+    info = {
+        "00": "(1 + 2 * v * v * s * s) / (m * m * s * s)", "01": "2 * v / m", "02": "-0.5e0 / m",
+        "11": "2", "12": "v * s * s", "22": "1.75e0 * s * s",
+    }
+    cols = [f"round(sum(w * g{b} * {x[i]}), 4) AS g{b}_{i}" for b in range(3) for i in range(3)]
+    cols += [f"round(sum(w * {e} * {x[i]} * {x[j]}), 4) AS i{k}_{i}_{j}" for k, e in info.items() for i in range(3) for j in range(i, 3)]
+    return ", ".join(cols)
+
+
 _SPECS = f"""specs AS (
   SELECT row_number() OVER (ORDER BY so, cohort_y, last_year, oo, ro)::INT AS spec_id, sex, cohort_y, last_year, outcome, ran_pars
   FROM (VALUES (1, 'male'), (2, 'female'), (3, 'all')) a(so, sex), (VALUES (1), (5)) b(cohort_y), (VALUES (2014), (2019)) c(last_year),
@@ -280,7 +294,7 @@ SELECT birth_lb || '-' || (birth_lb + 4) AS birth_range, age_lb || '-' || (age_l
     "rescaled_age": ADULT + """SELECT row_id, round((age - min(age) OVER ()) / (max(age) OVER () - min(age) OVER ())::DOUBLE, 6) AS age_s,
   round((age - min(age) OVER b) / nullif((max(age) OVER b - min(age) OVER b)::DOUBLE, 0), 6) AS age_b FROM adult WINDOW b AS (PARTITION BY birth)""",
     "right_join_age_grid": ADULT + """SELECT age, count(h.row_id) AS n, round(max(h.bmi), 6) AS max_bmi
-FROM (SELECT row_id, age, bmi FROM clean WHERE bmi > 38) h RIGHT JOIN (SELECT DISTINCT age FROM adult) USING (age) GROUP BY age""",
+FROM (SELECT row_id, age, bmi FROM clean) h RIGHT JOIN (SELECT DISTINCT age FROM adult) USING (age) GROUP BY age""",
     "completeness_profile": CLEAN + """SELECT unnest(['year', 'sex', 'age', 'bmi', 'edu', 'wt_int', 'birth']) AS variable,
   unnest([count(year), count(sex), count(age), count(bmi), count(edu), count(wt_int), count(birth)]) AS n_valid,
   unnest([round(100e0 * c / count(*), 6) for c in [count(year), count(sex), count(age), count(bmi), count(edu), count(wt_int), count(birth)]]) AS pct_valid FROM clean""",
@@ -317,12 +331,7 @@ df AS (SELECT *, {lms('hi')} - {lms('lo')} AS value FROM rp, pr) {ci('cohort, st
 FROM rp, zs WHERE centile IN (2, 5, 10, 50, 90, 95, 98)""",
     "uncoded_levels": CLEAN + """SELECT stratum, edu AS term, round(avg(bmi), 6) AS beta
 FROM (SELECT *, unnest([lower(sex), 'all']) AS stratum FROM clean WHERE edu IS NOT NULL) GROUP BY ALL""",
-    "lms_score_pass": _SCORE + """SELECT cohort, stratum, count(*) AS n, round(sum(w * ll), 4) AS loglik,
-  round(sum(w * g0), 4) AS g0_0, round(sum(w * g0 * ns1), 4) AS g0_1, round(sum(w * g1), 4) AS g1_0, round(sum(w * g1 * ns2), 4) AS g1_2,
-  round(sum(w * g2), 4) AS g2_0, round(sum(w * g2 * ns1), 4) AS g2_1,
-  round(sum(w * (1 + 2 * v * v * s * s) / (m * m * s * s) * ns1 * ns1), 4) AS i00_1_1, round(sum(w * 2 * v / m * ns1), 4) AS i01_0_1,
-  round(sum(w * -0.5e0 / m * ns2), 4) AS i02_0_2, round(sum(w * 2 * ns2 * ns2), 4) AS i11_2_2, round(sum(w * v * s * s * ns1 * ns2), 4) AS i12_1_2,
-  round(sum(w * 1.75e0 * s * s), 4) AS i22_0_0 FROM gg GROUP BY ALL""",
+    "lms_score_pass": _SCORE + f"""SELECT cohort, stratum, count(*) AS n, round(sum(w * ll), 4) AS loglik, {_score_sums()} FROM gg GROUP BY ALL""",
     "bootstrap_counts": exact(10) + "SELECT stratum, boot::INT AS boot, row_id, k::INT AS k FROM bo",
     "bootstrap_mean_ci": exact(50) + BOOT_MEAN,
     "poisson_mean_ci": POISSON + BOOT_MEAN,
@@ -357,8 +366,8 @@ SELECT birth, age, round(avg(pred), 6) AS pred FROM ce GROUP BY ALL""",
     "imputation_frame": FRAME + "SELECT row_id, round(bmi, 6) AS bmi, round(age_s, 6) AS age_s, age, birth, round(wt_int, 6) AS wt_int, obs FROM frame",
     "posterior_draws": posterior(10) + "SELECT imp, birth, round(a0, 6) AS a0, round(a1, 6) AS a1, 4.4e0 AS sigma FROM po",
     "noisy_predictions": posterior(10) + "SELECT imp, row_id, round(yhat, 6) AS yhat FROM yh",
-    "pmm_impute": matched(5) + "SELECT imp, row_id, round(imputed, 6) AS imputed FROM imputed",
-    "delta_suffstats": matched(3) + """, al AS (SELECT imp, birth, wt_int, age_s, bmi AS y, 0 AS shifted FROM yh WHERE obs
+    "pmm_impute": matched(10) + "SELECT imp, row_id, round(imputed, 6) AS imputed FROM imputed",
+    "delta_suffstats": matched(10) + """, al AS (SELECT imp, birth, wt_int, age_s, bmi AS y, 0 AS shifted FROM yh WHERE obs
   UNION ALL SELECT imp, birth, wt_int, age_s, imputed, 1 FROM yh JOIN imputed USING (imp, row_id)),
 sh AS (SELECT diff, imp, birth, wt_int, age_s, y + shifted * diff AS y FROM al, (SELECT unnest(range(-5, 6))::DOUBLE AS diff))
 SELECT diff, imp, birth, """ + _SUMS.format(w="wt_int", y="y") + " FROM sh GROUP BY ALL",

@@ -179,10 +179,10 @@ def rescaled_age(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def right_join_age_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """Persons with a high measure on the grid of all ages in the window."""
+    """Persons on the grid of all ages in the window."""
     clean = clean_table(spark, sf)
     grid = strata.value_grid(clean, "age", P.age_low, P.age_high)
-    rows = strata.right_join_grid(clean.where(F.col("bmi") > 38).select("row_id", "age", "bmi"), grid, "age")
+    rows = strata.right_join_grid(clean.select("row_id", "age", "bmi"), grid, "age")
     return rows.groupBy("age").agg(F.count("row_id").alias("n"), r6(F.max("bmi")).alias("max_bmi"))
 
 
@@ -335,10 +335,7 @@ def lms_score_pass(spark: SparkSession, sf: str) -> DataFrame:
     rows, terms = lms.with_spline(centiles.cohort_strata(clean_table(spark, sf), P), "age", 2, SEXES)
     rows = rows.withColumns({f"c{i}": F.lit(c[2]) for i, c in enumerate(GIVEN_CENTILE_COEFFICIENTS)})
     sums = lms.score_sums(lms.score_columns(rows, "bmi", terms), SEXES, "w", terms)
-    names = [
-        "loglik", "g0_0", "g0_1", "g1_0", "g1_2", "g2_0", "g2_1",
-        "i00_1_1", "i01_0_1", "i02_0_2", "i11_2_2", "i12_1_2", "i22_0_0",
-    ]
+    names = [c for c in sums.columns if c not in (*SEXES, "n")]
     return sums.select(*SEXES, "n", *[F.round(n, 4).alias(n) for n in names])
 
 
@@ -533,12 +530,12 @@ def pooled_means(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pmm_impute(spark: SparkSession, sf: str) -> DataFrame:
-    _, rows = _given_predictions(spark, sf, 5)
+    _, rows = _given_predictions(spark, sf, P.imputations)
     return rounded(impute.pmm(rows, ["imp"], "yhat", "bmi", "row_id", P.donors, P.seed), "imputed")
 
 
 def delta_suffstats(spark: SparkSession, sf: str) -> DataFrame:
-    frame, rows = _given_predictions(spark, sf, 3)
+    frame, rows = _given_predictions(spark, sf, P.imputations)
     values = stage(impute.pmm(rows, ["imp"], "yhat", "bmi", "row_id", P.donors, P.seed), "imputed")
     filled = frame.where(~F.col("obs")).drop("bmi").join(values, "row_id")
     imputed = stage(impute.frame_statistics(filled, "imputed", by=["imp"]), "imputed-sums")
@@ -569,7 +566,9 @@ def lms_fit_centiles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lms_age_band_fit(spark: SparkSession, sf: str) -> DataFrame:
-    return centiles.age_band_centiles(clean_table(spark, sf), 0, P)[1]
+    """Age-band centiles over survey year with bootstrap intervals."""
+    _, params = centiles.age_band_centiles(clean_table(spark, sf), FIT_REPS, P)
+    return lms.lms_centiles(params, [*SEXES, "year"])
 
 
 def lms_birth_band_fit(spark: SparkSession, sf: str) -> DataFrame:

@@ -48,7 +48,7 @@ def _loglik(d, c):
     m, s, v = c[0] + c[1] * d.x, np.exp(c[2] + c[3] * d.x), c[4] + c[5] * d.x
     z = ((d.y / m) ** v - 1) / (v * s)
     cdf = np.vectorize(NormalDist().cdf)(1 / (s * abs(v)))
-    return float((d.w * ((v - 1) * np.log(d.y) - v * np.log(m) - np.log(s) - z * z / 2 - np.log(cdf))).sum())
+    return float((d.w * (-np.log(2 * np.pi) / 2 + (v - 1) * np.log(d.y) - v * np.log(m) - np.log(s) - z * z / 2 - np.log(cdf))).sum())
 
 
 def test_sums_match_numeric_derivatives(spark):
