@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import carry, outputs, sub_batches
 
-PIECES, CHUNKS = 300_000, 100_000  # remembered by a task
+PIECES, CHUNKS = 700_000, 300_000  # remembered by a task
 GROUP_CHARS = 100_000  # characters of pieces encoded by one recursive query
 LONG = 200  # characters of a long piece
 STEP_BYTES = 1 << 20  # text encoded and decoded at a time
