@@ -1,15 +1,17 @@
-"""Embedding near-duplicates by sorted projection passes.
+"""Embedding near-duplicates by projection passes.
 
-Each pass orders the vectors by their signs on random hyperplanes, read as one
-number, cuts the order into blocks of ``BLOCK`` and compares every block with
-itself and the next one by cosine in double precision. Links of all passes are
-united. The number of passes follows from the number of vectors, so that a pair
-at the threshold is met with the wanted probability at every size.
+Each pass puts the vectors into cells by their signs on random hyperplanes, as
+many as make a cell of about ``BLOCK`` vectors on average, and compares all
+vectors of a cell by cosine in double precision. Links of all passes are united.
+The number of passes follows from the number of hyperplanes alone, so that a
+pair at the threshold is in one cell of some pass with the wanted probability,
+however the vectors lie: a cell of any size is compared whole. A cell larger
+than ``PART`` vectors is cut into parts that meet pairwise as tasks of their own.
 
 Equal vectors are one class with a count. A pair that an earlier pass has met is
-known from the two vectors' blocks in it, so each link is counted once without
+known from the two vectors' cells in it, so each link is counted once without
 listing pairs; a task hands on sums per vector and a spanning forest of its
-links, so a dense group gives no more rows than members.
+links, so a dense group gives no more rows than members of its parts.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing, and neither do vectors of different lengths; each
@@ -27,25 +29,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from birthwave.operators.ranks import global_rank
+from birthwave.operators.staging import join_summary
 
 from .common import carry, outputs, stage
 from .components import components
-from .simhash import Forest
 
 THRESHOLD = 0.9
 BLOCK = 2048
-RUN = 16  # blocks that one task compares
+PART = 8192  # vectors of a larger cell that one side of a task holds, on average
 BITS = 48
 MISSED = 0.005  # wanted probability of missing a pair at the threshold
 CHUNK = 512
 
 
+def planes_for(n: int, block: int) -> int:
+    """Hyperplanes that make cells of ``block`` vectors on average."""
+    return min(BITS, max(0, math.ceil(math.log2(max(1, n) / block))))
+
+
 def passes_for(n: int, threshold: float, block: int, missed: float) -> int:
-    """Passes after which a pair at the threshold was within a block with probability 1 - missed."""
-    same = 1 - math.acos(threshold) / math.pi
-    once = same ** max(1.0, math.log2(max(2, n) / block))
-    return max(4, math.ceil(math.log(missed) / math.log(1 - once)))
+    """Passes after which a pair at the threshold was in one cell with probability 1 - missed; one if all are in one."""
+    once = (1 - math.acos(threshold) / math.pi) ** planes_for(n, block)
+    return 1 if once == 1 else math.ceil(math.log(missed) / math.log(1 - once))
 
 
 def usable(v: str) -> Column:
@@ -63,62 +68,71 @@ def unit(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out / np.linalg.norm(out, axis=1, keepdims=True), size
 
 
-def keys(classes: DataFrame, passes: int, seed: int) -> DataFrame:
-    """``node, pass, size, key``: per pass the signs on ``BITS`` hyperplanes through the origin as a number."""
+def keyed(classes: DataFrame, passes: int, bits: int, seed: int) -> DataFrame:
+    """The classes with ``size`` and ``cells``: per pass the signs on ``bits`` hyperplanes through the origin as a number."""
 
     def run(batches):
         planes: dict[int, np.ndarray] = {}
-        weights = np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64)
+        weights = np.int64(1) << np.arange(bits - 1, -1, -1, dtype=np.int64)
         for batch in batches:
             vectors, size = unit(batch.column("vector"))
+            cells = np.zeros((len(size), passes), np.int64)
             for d in np.unique(size).tolist():
                 if d not in planes:
-                    planes[d] = np.random.default_rng([seed, d]).standard_normal((d, passes * BITS))
+                    planes[d] = np.random.default_rng([seed, d]).standard_normal((d, passes * bits))
                 mine = size == d
-                signs = (vectors[mine, :d] @ planes[d] > 0).reshape(-1, passes, BITS)
-                key = signs.astype(np.int64) @ weights
-                node = np.repeat(batch.column("node").to_numpy()[mine], passes)
-                number = np.tile(np.arange(passes, dtype=np.int32), mine.sum())
-                sizes = np.full(len(node), d, np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node, number, sizes, key.reshape(-1))], names=["node", "pass", "size", "key"])
+                signs = (vectors[mine, :d] @ planes[d] > 0).reshape(-1, passes, bits)
+                cells[mine] = signs.astype(np.int64) @ weights
+            made = [pa.array(size.astype(np.int32)), pa.array(list(cells), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("node", "m", "vector")] + made, names=["node", "m", "vector", "size", "cells"])
 
-    return classes.select("node", "vector").mapInArrow(run, "node long, pass int, size int, key long")
+    kind = classes.schema["vector"].dataType.simpleString()
+    return classes.select("node", "m", "vector").mapInArrow(run, f"node long, m long, vector {kind}, size int, cells array<long>")
 
 
-def compare(threshold: float, block: int, run_blocks: int):
-    """Compare the blocks of one run: link sums per node, and links that span what is linked."""
+def compare(threshold: float):
+    """Compare two parts of one cell, or one with itself: link sums per node, and links that span what is linked."""
 
     def run(key, table):
-        number, group = key[0].as_py(), key[1].as_py()
+        number, low, high = key[0].as_py(), key[3].as_py(), key[4].as_py()
         table = table.combine_chunks()
-        vectors, size = unit(table.column("vector").chunk(0) if table.num_rows else pa.array([], pa.list_(pa.float64())))
-        node, count = table.column("node").to_numpy(), table.column("m").to_numpy()
-        blocks = np.array(table.column("blocks").to_pylist(), np.int64)
-        own = blocks[:, number]
-        order = np.argsort(own, kind="stable")
-        starts = np.searchsorted(own[order], np.arange(group * run_blocks, (group + 1) * run_blocks + 2))
-        sums, forest = np.zeros(len(node), np.int64), Forest(len(node))
-        for b in range(run_blocks):
-            here, after = order[starts[b] : starts[b + 1]], order[starts[b] : starts[b + 2]]
-            for at in range(0, len(here), CHUNK):
-                part = here[at : at + CHUNK]
-                near = vectors[part] @ vectors[after].T >= threshold
-                i, j = np.nonzero(near)
-                # Within the block each pair once; vectors of one length; pairs that no earlier pass has met.
-                inside = j > i + at
-                i, j = part[i[inside]], after[j[inside]]
-                fresh = size[i] == size[j]
-                for q in range(number):
-                    fresh &= np.abs(blocks[i, q] - blocks[j, q]) > 1
-                i, j = i[fresh], j[fresh]
-                np.add.at(sums, i, count[j])
-                np.add.at(sums, j, count[i])
-                forest.join(i, j)
-        some, links = np.flatnonzero(sums), np.array(forest.links, np.int64).reshape(-1, 2)
+        vectors, _ = unit(table.column("vector").chunk(0) if table.num_rows else pa.array([], pa.list_(pa.float64())))
+        node, count, part = (table.column(c).to_numpy() for c in ("node", "m", "part"))
+        # Cells of the earlier passes; vectors that shared one are met already.
+        cells = np.array(table.column("cells").to_pylist(), np.int64).reshape(len(node), -1)[:, :number]
+        order = np.lexsort(cells.T) if number else np.arange(len(node))
+        left, right = order[part[order] == low], order[part[order] == high]
+        sums, label, links = np.zeros(len(node), np.int64), np.arange(len(node)), []
+        for at in range(0, len(left), CHUNK):
+            here, after = left[at : at + CHUNK], left[at:] if low == high else right
+            place = np.arange(len(after))
+            alike = (cells[here] == cells[here[0]]).all(axis=0)
+            new = ~(cells[after][:, alike] == cells[here[0], alike]).any(axis=1)
+            if low == high:
+                new[: len(here)] = True
+            after, place = after[new], place[new]
+            near = vectors[here] @ vectors[after].T >= threshold
+            if low == high:  # within a part each pair once
+                near &= place > np.arange(len(here))[:, None]
+            if not near.any():
+                continue
+            for q in range(number):
+                near &= cells[here, q][:, None] != cells[after, q]
+            np.add.at(sums, here, near @ count[after])
+            np.add.at(sums, after, count[here] @ near)
+            # Links between sets that are apart, one per row at a time.
+            while (apart := near & (label[here][:, None] != label[after])).any():
+                some = np.flatnonzero(apart.any(axis=1))
+                for i, j in zip(here[some].tolist(), after[apart[some].argmax(axis=1)].tolist()):
+                    if label[i] != label[j]:
+                        one, two = sorted((label[i], label[j]))
+                        label[label == two] = one
+                        links.append((i, j))
+        some, pairs = np.flatnonzero(sums), np.array(links, np.int64).reshape(-1, 2)
         return pa.table({
-            "node": pa.array(np.concatenate([node[some], node[links[:, 0]]])),
-            "links": pa.array(np.concatenate([sums[some], np.zeros(len(links), np.int64)])),
-            "peer": pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(node[links[:, 1]], pa.int64())]),
+            "node": pa.array(np.concatenate([node[some], node[pairs[:, 0]]])),
+            "links": pa.array(np.concatenate([sums[some], np.zeros(len(pairs), np.int64)])),
+            "peer": pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(node[pairs[:, 1]], pa.int64())]),
         })
 
     return run
@@ -126,7 +140,7 @@ def compare(threshold: float, block: int, run_blocks: int):
 
 def near_duplicates(
     vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, missed: float = MISSED, seed: int = 7,
-    vec_id: str = "vec_id", vector: str = "embedding",
+    vec_id: str = "vec_id", vector: str = "embedding", part: int = PART,
 ) -> DataFrame:
     """Input columns with ``n_links``, ``component_id`` and ``kept``."""
     rows = carry(vectors, vec_id, vector).select("_row", F.col(f"_{vec_id}").alias("_id"), F.col(f"_{vector}").alias("vector"))
@@ -134,18 +148,17 @@ def near_duplicates(
     good = rows.filter("_usable")
     classes = good.groupBy("vector").agg(F.min("_id").alias("least"), F.count(F.lit(1)).alias("m"))
     classes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "embed-classes")
-    passes = passes_for(classes.count(), threshold, block, missed)
-    placed = global_rank(keys(classes, passes, seed), ["pass"], ["size", "key", "node"], "rank")
-    placed = placed.select("node", "pass", F.floor((F.col("rank") - 1) / block).cast("int").alias("block"))
-    placed = placed.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("pass", "block"))).alias("places"))
-    placed = placed.select("node", F.transform("places", lambda x: x["block"]).alias("blocks"))
-    # One row per pass and run of blocks; the first block of a run also belongs to the run before.
-    spread = classes.select("node", "m", "vector").join(placed, "node").select("*", F.posexplode("blocks").alias("pass", "_b"))
-    run_of = F.floor(F.col("_b") / RUN).cast("int")
-    ahead = (F.pmod("_b", F.lit(RUN)) == 0) & (F.col("_b") > 0)
-    spread = spread.withColumn("run", F.explode(F.when(ahead, F.array(run_of, run_of - 1)).otherwise(F.array(run_of))))
-    found = spread.select("node", "m", "vector", "blocks", "pass", "run").groupBy("pass", "run")
-    found = stage(found.applyInArrow(compare(threshold, block, RUN), "node long, links long, peer long"), "embed-links")
+    n = classes.count()
+    placed = stage(keyed(classes, passes_for(n, threshold, block, missed), planes_for(n, block), seed), "embed-cells")
+    # The part of a vector is the same in all passes; every two parts of a cell are one task.
+    spread = placed.select("*", F.posexplode("cells").alias("pass", "cell"))
+    at = ["pass", "size", "cell"]
+    parts = spread.groupBy(*at).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*at, F.ceil(F.col("_n") / part).alias("_parts"))
+    spread = join_summary(spread, parts, at, "inner").withColumn("part", F.pmod(F.xxhash64("node"), "_parts"))
+    spread = spread.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+    spread = spread.select("node", "m", "vector", "cells", "part", *at, F.least("part", "_other").alias("low"), F.greatest("part", "_other").alias("high"))
+    found = spread.groupBy(*at, "low", "high")
+    found = stage(found.applyInArrow(compare(threshold), "node long, links long, peer long"), "embed-links")
     linked = components(found.filter("peer is not null").select(F.col("node").alias("a"), F.col("peer").alias("b")))
     sums = found.groupBy("node").agg(F.sum("links").alias("links"))
     known = classes.join(sums, "node", "left").join(linked.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")

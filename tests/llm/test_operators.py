@@ -315,6 +315,21 @@ def test_embeddings(spark):
     assert found[len(rows) - 1].component_id == found[0].component_id
 
 
+def test_embeddings_of_a_dense_group(spark):
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal(32)
+    noise = rng.standard_normal((700, 32)) * np.linalg.norm(centre) / np.sqrt(32)
+    v = np.concatenate([centre + 0.27 * noise, rng.standard_normal((1400, 32))])  # a third of the rows, much more than a block
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    found = {r.vec_id: r for r in embed.near_duplicates(frame, block=16, part=150).collect()}
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.9).sum(1) - 1
+    assert links[:700].min() > 16
+    got = np.array([found[i].n_links for i in range(len(v))])
+    assert (got <= links).all() and got.sum() >= 0.99 * links.sum()
+    assert {found[i].component_id for i in range(700)} == {0}
+
+
 def test_empty_tables(spark, tmp_path):
     none = spark.createDataFrame([], SCHEMA)
     made = [
