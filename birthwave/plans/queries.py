@@ -553,21 +553,19 @@ def pattern_figures(spark: SparkSession, sf: str) -> DataFrame:
 
 # Centile fits
 
-FIT_REPS = 20
-
 
 def lms_fit(spark: SparkSession, sf: str) -> DataFrame:
-    return centiles.cohort_centiles(clean_table(spark, sf), FIT_REPS, P)[0]
+    return centiles.cohort_centiles(clean_table(spark, sf), P.bootstrap_reps, P)[0]
 
 
 def lms_fit_centiles(spark: SparkSession, sf: str) -> DataFrame:
-    _, params = centiles.cohort_centiles(clean_table(spark, sf), FIT_REPS, P)
-    return feeds.centile_feed(lms.lms_centiles(params, [*SEXES, "age"], feeds.FIGURE_CENTILES), "age", 10)
+    _, params = centiles.cohort_centiles(clean_table(spark, sf), P.bootstrap_reps, P)
+    return feeds.centile_feed(lms.lms_centiles(params, [*SEXES, "age"]), "age", 10, range(1, 100))
 
 
 def lms_age_band_fit(spark: SparkSession, sf: str) -> DataFrame:
     """Age-band centiles over survey year with bootstrap intervals."""
-    _, params = centiles.age_band_centiles(clean_table(spark, sf), FIT_REPS, P)
+    _, params = centiles.age_band_centiles(clean_table(spark, sf), P.bootstrap_reps, P)
     return lms.lms_centiles(params, [*SEXES, "year"])
 
 

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from birthwave.operators import lms
+from birthwave.params import Params
+from birthwave.plans import queries
 from statistics import NormalDist
 
 
@@ -113,3 +115,21 @@ def test_centiles_rise_and_contrasts_are_their_differences(spark):
     d = lms.centile_contrast(params, ["x"], ((50, 90),)).toPandas().set_index("x")["beta"]
     assert np.allclose(d, c[90] - c[50])
     assert np.allclose(c[50], [25, 27, 30])
+
+
+def test_registered_fits_take_all_replicates_and_centiles(spark, monkeypatch):
+    asked = []
+
+    def fake(clean, reps, params):
+        asked.append(reps)
+        rows = [(1951, "male", "all", b, 20, 25.0 + b, 0.15, -0.7) for b in range(3)]
+        df = spark.createDataFrame(rows, "cohort int, stratum string, sex string, boot int, age int, mu double, sigma double, nu double")
+        return df, df.withColumn("year", F.lit(2000))
+
+    monkeypatch.setattr(queries, "clean_table", lambda spark, sf: None)
+    monkeypatch.setattr(queries.centiles, "cohort_centiles", fake)
+    monkeypatch.setattr(queries.centiles, "age_band_centiles", fake)
+    queries.lms_fit(spark, "")
+    assert queries.lms_fit_centiles(spark, "").select("centile").distinct().count() == 99
+    queries.lms_age_band_fit(spark, "")
+    assert asked == [Params().bootstrap_reps] * 3 == [200] * 3
