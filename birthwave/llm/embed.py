@@ -81,7 +81,7 @@ def keyed(classes: DataFrame, passes: int, bits: int, seed: int) -> DataFrame:
                 if d not in planes:
                     planes[d] = np.random.default_rng([seed, d]).standard_normal((d, passes * bits))
                 mine = size == d
-                signs = (vectors[mine, :d] @ planes[d] > 0).reshape(-1, passes, bits)
+                signs = (vectors[mine, :d] @ planes[d] > 0).reshape(mine.sum(), passes, bits)
                 cells[mine] = signs.astype(np.int64) @ weights
             made = [pa.array(size.astype(np.int32)), pa.array(list(cells), pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("node", "m", "vector")] + made, names=["node", "m", "vector", "size", "cells"])

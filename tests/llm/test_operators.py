@@ -328,6 +328,9 @@ def test_embeddings_of_a_dense_group(spark):
     got = np.array([found[i].n_links for i in range(len(v))])
     assert (got <= links).all() and got.sum() >= 0.99 * links.sum()
     assert {found[i].component_id for i in range(700)} == {0}
+    # One cell holds all rows of a table below a block: every link is found.
+    few = {r.vec_id: r.n_links for r in embed.near_duplicates(frame.filter("vec_id >= 600")).collect()}
+    assert [few[i] for i in range(600, 2100)] == ((unit[600:] @ unit[600:].T >= 0.9).sum(1) - 1).tolist()
 
 
 def test_empty_tables(spark, tmp_path):
