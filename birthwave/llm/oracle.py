@@ -126,5 +126,60 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base
 FROM w LEFT JOIN base USING (r) LEFT JOIN own USING (r)
 """
 
+OP12 = """
+WITH v AS (
+  SELECT row_number() OVER () AS n, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), met AS (
+  SELECT a.n AS an, a.vec_id AS anchor_id, r.n, r.vec_id, a.label = r.label AS same, list_inner_product(a.q, r.q)::BIGINT AS score
+  FROM v a JOIN v r ON a.n <> r.n AND len(a.q) = len(r.q) WHERE a.vec_id % 100 = 0
+), pos AS (
+  SELECT an, anchor_id, vec_id AS positive_id, score AS positive_score,
+    row_number() OVER (PARTITION BY an ORDER BY score DESC, vec_id NULLS LAST, n) AS k FROM met WHERE same QUALIFY k <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY an, k ORDER BY score DESC, vec_id NULLS LAST, n)::INTEGER AS "rank",
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN (SELECT an, n, vec_id, score FROM met WHERE NOT same) m USING (an)
+WHERE 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY "rank" <= 10
+"""
+
+# Prefixes as joined digests; the CRC bit by bit.
+OP13 = """
+WITH own AS (
+  SELECT conv_id, list({'h': sha256(octet_length(encode(coalesce(role, '')))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))[1:32],
+    'b': octet_length(encode(coalesce(text, '')))} ORDER BY turn NULLS FIRST,
+    sha256(octet_length(encode(coalesce(role, '')))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), h AS (
+  SELECT *, xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii((conv_id::VARCHAR)[i])::BIGINT),
+    lambda c, b: list_reduce([xor(c, b)] || [1::BIGINT, 1, 1, 1, 1, 1, 1, 1],
+      lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END))) % 9 AS h
+  FROM own
+), conv AS (
+  SELECT c.conv_id, list_concat(coalesce(b.turns[1:c.h], []), c.turns[c.h + 1:]) AS turns
+  FROM h c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 5
+), pre AS (
+  SELECT conv_id, d, d = len(turns) AS ends, list_aggregate(list_transform(turns[1:d], lambda x: x.h), 'string_agg', ',') AS p,
+    list_aggregate(list_transform(turns[1:d - 1], lambda x: x.h), 'string_agg', ',') AS up, coalesce(turns[d].b, 0) AS b
+  FROM conv, range(0, len(turns) + 1) g(d)
+), node AS (
+  SELECT d AS depth, CASE WHEN d = 0 THEN '' ELSE p END AS p, CASE WHEN d = 1 THEN '' WHEN d > 1 THEN any_value(up) END AS up, min(conv_id) AS conv_id,
+    count(*) AS n_convs, any_value(b) * (count(*) - 1) AS saved, string_agg(CASE WHEN ends THEN conv_id::VARCHAR END, ',' ORDER BY conv_id) AS members
+  FROM pre GROUP BY 1, 2
+), kids AS (
+  SELECT up, count(*) AS n FROM node WHERE depth > 0 GROUP BY up
+), below AS (
+  SELECT a.p, sum(b.saved) AS saved, count(*) FILTER (WHERE k.n IS NULL) AS leaves
+  FROM node a JOIN node b ON b.depth >= a.depth AND (a.depth = 0 OR b.p = a.p OR starts_with(b.p, a.p || ',')) LEFT JOIN kids k ON k.up = b.p GROUP BY a.p
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, coalesce(k.n, 0)::BIGINT AS n_children,
+  w.leaves::BIGINT AS n_leaves, w.saved::BIGINT AS saved_tokens, sha256(coalesce(n.members, '')) AS ends_sha256
+FROM node n JOIN below w ON w.p = n.p LEFT JOIN kids k ON k.up = n.p LEFT JOIN node u ON u.p = n.up
+"""
 
-ORACLE = {"op1_quality_rules": OP1, "op7_source_mix": OP7, "op10_license_scan": _op10()}
+ORACLE = {
+    "op1_quality_rules": OP1, "op7_source_mix": OP7, "op10_license_scan": _op10(),
+    "op12_hard_negatives": OP12, "op13_conversation_trie": OP13,
+}

@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, embed, licences, mixing, quality, simhash, substring, suffix, tokens, toxicity
+from . import bpe, embed, licences, mixing, negatives, pairwise, quality, simhash, substring, suffix, tokens, toxicity, trie
 from .common import documents, stage_root
 from .oracle import ORACLE  # noqa: F401
 
@@ -64,4 +64,24 @@ def op10_license_scan(spark, sf_dir):
     return licences.scan(documents(spark, sf_dir).select("doc_id", "text")).select(*cols)
 
 
-QUERIES = [op1_quality_rules, op2_byte_bpe, op3_toxicity_chain, op4_embedding_groups, op5_substring_dedup, op6_simhash_groups, op7_source_mix, op8_token_counts, op9_suffix_dedup, op10_license_scan]
+
+def op11_pairwise_quality(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    learned = F.crc32(F.col("doc_id").cast("string")) % 5 != 0
+    ranking = pairwise.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), learned)
+    held_out = F.coalesce(~learned, F.lit(False)).alias("held_out")
+    return pairwise.score(docs, ranking).select("doc_id", held_out, "score", "predicted")
+
+
+def op12_hard_negatives(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op13_conversation_trie(spark, sf_dir):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return trie.node_table(trie.shared_starts(trie.spoken(turns)))
+
+
+QUERIES = [op1_quality_rules, op2_byte_bpe, op3_toxicity_chain, op4_embedding_groups, op5_substring_dedup, op6_simhash_groups, op7_source_mix, op8_token_counts, op9_suffix_dedup, op10_license_scan, op11_pairwise_quality, op12_hard_negatives, op13_conversation_trie]
