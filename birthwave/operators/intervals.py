@@ -16,7 +16,7 @@ def quantile(x: Column, probs, approximate: bool = False) -> Column:
 
 
 def point_and_interval(df: DataFrame, by: list[str], value, boot: str = "boot", approximate: bool = False) -> DataFrame:
-    """Estimate from replicate 0 and 95% percentile bounds from the other replicates.
+    """Estimate from replicate 0, 95% percentile bounds from the other replicates, and how many of these have a value.
 
     One pass over the replicates; NaN counts as missing. The exact quantiles
     hold one number per replicate and group.
@@ -28,6 +28,7 @@ def point_and_interval(df: DataFrame, by: list[str], value, boot: str = "boot",
         F.max(F.when(F.col(boot) == 0, v)).alias("beta"),
         quantile(again, F.lit(0.025), approximate).alias("lci"),
         quantile(again, F.lit(0.975), approximate).alias("uci"),
+        F.count(again).alias("n_used"), F.count(F.when((F.col(boot) > 0) & v.isNull(), 1)).alias("n_failed"),
     )
 
 

@@ -27,12 +27,16 @@ from .staging import join_summary, stage
 
 PARAMS = ("mu", "sigma", "nu")
 _NU_FLOOR = 1e-4
-# Pairs of parameters whose information is summed.
+# Pairs of parameters whose second derivatives are summed.
 _BLOCKS = ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))
 _STATE = (
-    "no bigint, boot int, coef array<double>, trial array<double>, dir array<double>, grad array<double>, curve array<double>, "
-    "step double, loglik double, cycles int, status string"
+    "no bigint, boot int, coef array<double>, trial array<double>, grad array<double>, curve array<double>, "
+    "radius double, size double, promised double, slope double, loglik double, cycles int, status string"
 )
+# Rows times replicates that one part of the rows stands for, at least.
+_PART_WORK = 50_000_000
+# Centile values that are expanded together.
+_CUBE = 2_000_000
 
 
 def _key() -> Column:
@@ -50,39 +54,44 @@ def with_spline(df: DataFrame, x: str, df_terms: int, by: list[str], prefix: str
 
 
 def score_columns(rows: DataFrame, y: str, terms: list[str], mu_link: str = "identity") -> DataFrame:
-    """Log-likelihood, scores and expected information of each row at coefficients c0, c1, ...
+    """Log-likelihood, scores and observed information of each row at coefficients c0, c1, ...
 
     The density is truncated to positive values of y; h is its hazard at the
-    cut and vanishes beyond t = 6. Expressions are SQL text because a pass is
-    planned anew each time.
+    cut and vanishes beyond t = 6. A trial point without a density (a median
+    that is not positive, a scale out of range) gives NaN and so is refused.
+    Expressions are SQL text because a pass is planned anew each time.
     """
     p = len(terms) + 1
     design = ["", *[f" * {t}" for t in terms]]
     eta = [" + ".join(f"c{b * p + i}{design[i]}" for i in range(p)) for b in range(3)]
     log_mu = mu_link == "log"
-    chain = "m" if log_mu else "1D"
     cdf = normal_cdf_positive_sql("t")
+    # First and second derivatives by m become those by its linear predictor.
+    chain = "m" if log_mu else "1D"
+    bend = " + m * lm" if log_mu else ""
+    nan = "double('NaN')"
     steps = [
         {"em": eta[0], "es": eta[1], "ev": eta[2]},
         {
-            "m": "exp(em)" if log_mu else "greatest(em, 1e-9D)",
-            "s": "exp(least(greatest(es, -8D), 3D))",
+            "m": f"if(abs(em) < 200, exp(em), {nan})" if log_mu else f"if(em > 1e-100, em, {nan})",
+            "s": f"if(abs(es) < 200, exp(es), {nan})",
             "v": f"if(abs(ev) >= {_NU_FLOOR}D, ev, if(ev < 0, -{_NU_FLOOR}D, {_NU_FLOOR}D))",
         },
         {"lg": f"ln({y}) - ln(m)", "t": "1D / (s * abs(v))"},
-        {"z": "(exp(v * lg) - 1D) / (v * s)", "cdf": f"if(t > 6, 1D, {cdf})"},
-        {"h": f"if(t > 6, 0D, {(2 * np.pi) ** -0.5!r}D * exp(-0.5D * t * t) / cdf)"},
+        {"u": "exp(v * lg)", "cdf": f"if(t > 6, 1D, {cdf})"},
+        {"z": "(u - 1D) / (v * s)", "h": f"if(t > 6, 0D, {(2 * np.pi) ** -0.5!r}D * exp(-0.5D * t * t) / cdf)"},
+        {"q": "(u * lg / s - z) / v", "r": "1D - t * (t + h)", "lm": "(z * u / s - v) / m"},
         {
             "ll": f"{float(-0.5 * np.log(2 * np.pi))!r}D + (v - 1D) * ln({y}) - v * ln(m) - ln(s) - 0.5D * z * z - ln(cdf)",
-            "g0": f"(z / s + v * (z * z - 1D)) / m * {chain}",
+            "g0": f"lm * {chain}",
             "g1": "z * z - 1D + h * t",
-            "g2": "lg - z * ((1D + v * s * z) * lg / (v * s) - z / v) + signum(v) * h / (s * v * v)",
-            "i00": f"(1D + 2D * v * v * s * s) / (m * m * s * s) * {chain} * {chain}",
-            "i01": f"2D * v / m * {chain}",
-            "i02": f"-0.5D / m * {chain}",
-            "i11": "2D",
-            "i12": "v * s * s",
-            "i22": "1.75D * s * s",
+            "g2": "lg - z * q + h * t / v",
+            "i00": f"-((v - u * u / (s * s) - z * u * (1D + v) / s) / (m * m) * {chain} * {chain}{bend})",
+            "i01": f"2D * z * u / (m * s) * {chain}",
+            "i02": f"(1D - u * (q + z * lg) / s) / m * {chain}",
+            "i11": "2D * z * z + h * t * r",
+            "i12": "h * t * r / v - 2D * z * q",
+            "i22": "q * q + z * (u * lg * lg / s - 2D * q) / v + h * t * (1D + r) / (v * v)",
         },
     ]
     for step in steps:
@@ -95,8 +104,8 @@ def score_sums(scored: DataFrame, by: list[str], weight: str, terms: list[str])
     design = ["", *[f" * {t}" for t in terms]]
     p = len(design)
     columns = ["ll", "g0", "g1", "g2", *[f"i{b}{c}" for b, c in _BLOCKS]]
-    rows = scored.selectExpr(*by, *terms, *[f"({weight}) * {c} AS {c}" for c in columns])
-    sums = ["count(1) AS n", "sum(ll) AS loglik"]
+    rows = scored.selectExpr(*by, *terms, f"{weight} AS _kw", *[f"({weight}) * {c} AS {c}" for c in columns])
+    sums = ["count(1) AS n", "sum(_kw) AS sum_w", "sum(ll) AS loglik"]
     for b in range(3):
         sums += [f"sum(g{b}{design[i]}) AS g{b}_{i}" for i in range(p)]
     for b, c in _BLOCKS:
@@ -107,7 +116,7 @@ def score_sums(scored: DataFrame, by: list[str], weight: str, terms: list[str])
 
 
 def _gradient_and_information(row, p: int) -> tuple[np.ndarray, np.ndarray]:
-    """Score and expected information; the design is the same in all blocks."""
+    """Score and observed information; the design is the same in all blocks."""
     g = np.array([getattr(row, f"g{b}_{i}") for b in range(3) for i in range(p)])
     info = np.zeros((3 * p, 3 * p))
     for b, c in _BLOCKS:
@@ -116,69 +125,81 @@ def _gradient_and_information(row, p: int) -> tuple[np.ndarray, np.ndarray]:
                 value = getattr(row, f"i{b}{c}_{i}_{j}")
                 for u, v in ((i, j), (j, i)):
                     info[b * p + u, c * p + v] = info[c * p + v, b * p + u] = value
-    scale = np.sqrt(np.where(np.diag(info) > 0, np.diag(info), 1.0))
-    if np.linalg.eigvalsh(info / np.outer(scale, scale))[0] < 1e-8:
-        # Far from the solution the joint information may be indefinite; its blocks never are.
-        info = np.where(np.kron(np.eye(3), np.ones((p, p))) > 0, info, 0.0)
     return g, info
 
 
-def _direction(curve: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, float]:
-    """Direction of a quadratic model and the gain it promises."""
-    scale = np.sqrt(np.where(np.diag(curve) > 0, np.diag(curve), 1.0))
-    step = np.linalg.lstsq(curve / np.outer(scale, scale), g / scale, rcond=1e-9)[0] / scale
-    return step, float(g @ step)
+def trust_step(curve: np.ndarray, g: np.ndarray, radius: float) -> tuple[np.ndarray, float, float]:
+    """Best step of the quadratic model within a radius, its promised gain and its length.
 
-
-def _secant(curve: np.ndarray, moved: np.ndarray, change: np.ndarray) -> np.ndarray:
-    """Curvature updated by what the gradient did over the last step; unchanged if that was not concave."""
-    along = curve @ moved
-    inner, outer = float(moved @ change), float(moved @ along)
-    if outer <= 0 or inner <= 1e-8 * outer:
-        return curve
-    return curve - np.outer(along, along) / outer + np.outer(change, change) / inner
+    Lengths are in units of the curvature's diagonal. The eigenvalues give the
+    exact step also where the model is not concave.
+    """
+    scale = np.sqrt(np.abs(np.diag(curve)))
+    scale = np.where(scale > 0, scale, 1.0)
+    values, vectors = np.linalg.eigh(curve / np.outer(scale, scale))
+    slope = vectors.T @ (g / scale)
+    if values[0] > 1e-10 * max(1.0, values[-1]) and np.linalg.norm(slope / values) <= radius:
+        d = slope / values
+    else:
+        low = max(0.0, -values[0])
+        high = low + np.linalg.norm(slope) / radius + 1e-12
+        for _ in range(100):
+            shift = (low + high) / 2
+            divisor = values + shift
+            short = (divisor > 0).all() and np.linalg.norm(slope / divisor) <= radius
+            low, high = (low, shift) if short else (shift, high)
+        d = slope / (values + high)
+        missing = radius**2 - d @ d
+        if values[0] <= 0 and missing > 1e-6 * radius**2:  # along the direction of least curvature
+            d[0] += np.copysign(np.sqrt(missing), slope[0])
+    return vectors @ d / scale, float(slope @ d - 0.5 * d @ (values * d)), float(np.linalg.norm(d))
 
 
 def _advance(p: int, tol: float, max_passes: int):
-    """Next state per key from the sums at its trial point: accept and bend the model, or shorten the step.
+    """Next state per key from the sums at its trial point, by a trust region.
 
-    The first model is the expected information. As it is only near to the
-    curvature of the likelihood, accepted steps correct it by secants, and a
-    step that lost is shortened to the top of the parabola through both ends.
+    The ratio of the gain to what the quadratic model promised decides whether
+    the trial is accepted and how far the model is trusted next. A key has
+    converged when a whole step promises less than half of ``tol``; that step is
+    still taken.
     """
 
     def one(row) -> tuple:
-        coef, step, old = np.asarray(row.coef), row.step, row.loglik
-        trial, cycles = np.asarray(row.trial), row.cycles + 1
-        direction, status = np.asarray(row.dir), "run"
-        grad, curve = np.asarray(row.grad), np.asarray(row.curve)
+        coef, old, cycles = np.asarray(row.coef), row.loglik, row.cycles + 1
+        trial, grad, curve = (np.asarray(v) for v in (row.trial, row.grad, row.curve))
+        radius, size, promised, slope = row.radius, row.size, row.promised, row.slope
+
+        def state(status):
+            return row.no, row.boot, coef, trial, grad, curve, radius, size, promised, slope, old, cycles, status
+
         if row.n is None or np.isnan(row.n):
-            return row.no, row.boot, coef, trial, direction, grad, curve, step, old, cycles, "empty"
-        new = row.new_loglik
-        first = np.isnan(old)
-        if np.isfinite(new) and (first or new >= old - 1e-10 * abs(old)):
-            g, info = _gradient_and_information(row, p)
-            if first:
-                matrix = curve.reshape(3 * p, 3 * p) if curve.any() else info
-            else:
-                matrix = _secant(curve.reshape(3 * p, 3 * p), trial - coef, grad - g)
-            direction, promised = _direction(matrix, g)
-            if not promised > 0:
-                matrix = info
-                direction, promised = _direction(matrix, g)
-            settled = not first and step == 1.0 and 2 * (new - old) < tol
-            coef, grad, curve, old, step = trial, g, matrix.ravel(), new, 1.0
-            if settled or promised < 0.1 * tol:
-                status = "converged"
+            return state("empty")
+        new, first = row.new_loglik, np.isnan(old)
+        g, info = _gradient_and_information(row, p)
+        known = bool(np.isfinite(new) and np.isfinite(g).all() and np.isfinite(info).all())
+        if first:
+            if not known:
+                return state("stalled")
+            accepted, radius = True, 2 * np.sqrt(max(row.sum_w, 1e-12))
         else:
-            slope = float(grad @ direction) * step
-            lost = old - new if np.isfinite(new) else np.inf
-            step *= float(np.clip(0.5 * slope / (slope + lost), 0.1, 0.5)) if np.isfinite(lost) else 0.25
-            if first or step < 1e-6:
-                status = "stalled"
-        if status == "run" and cycles >= max_passes:
-            status = "unfinished"
-        return row.no, row.boot, coef, coef + step * direction, direction, grad, curve, step, old, cycles, status
+            gain = new - old if known else -np.inf
+            accepted = gain > 1e-4 * promised
+            if gain < 0.25 * promised:
+                # Shorten to the top of the parabola through both ends.
+                top = 0.5 * slope / (slope - gain) if known else 0.25
+                radius = size * float(np.clip(top, 0.1, 0.5))
+            elif gain > 0.75 * promised and size > 0.8 * radius:
+                radius = 2 * radius
+        if accepted:
+            coef, old, grad, curve = trial, new, g, info.ravel()
+        step, promised, size = trust_step(curve.reshape(3 * p, 3 * p), grad, radius)
+        slope, trial = float(grad @ step), coef + step
+        if promised < 0.5 * tol and size < radius:
+            coef, old = trial, old + promised
+            return state("converged")
+        if radius < 1e-7:
+            return state("stalled")
+        return state("unfinished" if cycles >= max_passes else "run")
 
     names = [field.split()[0] for field in _STATE.split(", ")]
 
@@ -237,14 +258,15 @@ def fit_lms(
     seed: int = 1,
     mu_link: str = "identity",
     tol: float = 1e-3,
-    max_passes: int = 40,
+    max_passes: int = 100,
 ) -> DataFrame:
     """Coefficients per stratum, replicate, parameter and term.
 
     Replicate 0 is the sample itself; the others are Poisson bootstraps that
-    start from its solution and curvature and so need few passes. Keys that did
-    not converge within ``max_passes`` (a bound that should not bind) stay in the
-    result with ``converged`` false and null coefficients.
+    start from its solution and so need few passes. ``tol`` is in units of the
+    deviance. Keys that did not converge within ``max_passes`` (a bound that
+    should not bind) stay in the result with ``converged`` false and null
+    coefficients.
     """
     p = len(terms) + 1
     base = df.select(
@@ -252,7 +274,7 @@ def fit_lms(
         F.col(w).cast("double").alias("_w"), *[F.col(t).cast("double").alias(t) for t in terms],
     )
     strata = base.groupBy("sid", *by).agg(
-        F.avg("_y").alias("_mean"), (F.stddev_pop("_y") / F.avg("_y")).alias("_cv")
+        F.avg("_y").alias("_mean"), (F.stddev_pop("_y") / F.avg("_y")).alias("_cv"), F.count(F.lit(1)).alias("_rows")
     )
     # Strata are few: they are numbered in one task.
     strata = stage(strata.withColumn("no", F.row_number().over(Window.orderBy("sid")).cast("bigint")), "lms-strata")
@@ -262,7 +284,8 @@ def fit_lms(
     # Replicates multiply the work per row, so the number of parts is not left to their size.
     # Parts hold few strata each, so a pass emits few partial sums per task, and
     # a stratum with most rows is split over many parts.
-    parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    work = (strata.agg(F.sum("_rows")).first()[0] or 0) * (reps + 1)
+    parts = max(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), work // _PART_WORK)
     base = base.repartitionByRange(parts, "no", "_row").persist(StorageLevel.MEMORY_AND_DISK)
     centre = F.log("_mean") if mu_link == "log" else F.col("_mean")
     zeros = [F.lit(0.0)] * (p - 1)
@@ -270,19 +293,19 @@ def fit_lms(
         centre, *zeros, F.log(F.greatest(F.coalesce("_cv", F.lit(0.0)), F.lit(0.01))), *zeros, F.lit(-0.5), *zeros
     )
 
-    def fresh(keys: DataFrame, coef: Column, curve: Column) -> DataFrame:
+    def fresh(keys: DataFrame, coef: Column) -> DataFrame:
+        none = F.array().cast("array<double>")
         return keys.select(
-            "no", "boot", coef.alias("coef"), coef.alias("trial"),
-            F.array_repeat(F.lit(0.0), 3 * p).alias("dir"), F.array_repeat(F.lit(0.0), 3 * p).alias("grad"),
-            curve.alias("curve"), F.lit(1.0).alias("step"),
+            "no", "boot", coef.alias("coef"), coef.alias("trial"), none.alias("grad"), none.alias("curve"),
+            *[F.lit(0.0).alias(n) for n in ("radius", "size", "promised", "slope")],
             F.lit(float("nan")).alias("loglik"), F.lit(0).alias("cycles"), F.lit("run").alias("status"),
         )
 
-    state = fresh(strata.withColumn("boot", F.lit(0)), start, F.array_repeat(F.lit(0.0), 9 * p * p))
+    state = fresh(strata.withColumn("boot", F.lit(0)), start)
     state = _iterate(base, state, terms, mu_link, tol, max_passes, False, seed)
     if reps:
         again = state.drop("boot").withColumn("boot", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-        again = stage(fresh(again, F.col("coef"), F.col("curve")), "lms-state")
+        again = stage(fresh(again, F.col("coef")), "lms-state")
         state = state.unionByName(_iterate(base, again, terms, mu_link, tol, max_passes, True, seed))
     base.unpersist()
     names = ["(Intercept)", *terms]
@@ -322,11 +345,11 @@ def expand_centiles(params: DataFrame, percents=range(1, 100), log_mu: bool = Fa
 
 
 def lms_centiles(params: DataFrame, by: list[str], percents=range(1, 100), log_mu: bool = False) -> DataFrame:
-    """Centile curves with percentile intervals over replicates.
+    """Centile curves with percentile intervals over replicates, and how many replicates have a value.
 
     The replicates of a curve point travel together as arrays, so the shuffle
-    carries parameters and not their many centile values; each point becomes
-    a small matrix of replicates by centiles.
+    carries parameters and not their many centile values; points are expanded
+    together as a cube of points, replicates and centiles.
     """
     again = F.col("boot") > 0
     arrays = [F.collect_list(F.when(again, F.struct("mu", "sigma", "nu"))).alias("_r")]
@@ -338,37 +361,44 @@ def lms_centiles(params: DataFrame, by: list[str], percents=range(1, 100), log_m
     keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in params.select(*by).schema)
 
     def values(mu, sigma, nu) -> np.ndarray:
-        """Replicates by centiles; NaN where a negative base has no value."""
-        mu, sigma, nu = (np.asarray(v, dtype=float)[:, None] for v in (mu, sigma, nu))
+        """Parameters with a last axis of centiles; NaN where a negative base has no value."""
+        mu, sigma, nu = (v[..., None] for v in (mu, sigma, nu))
         near = np.abs(nu) < 1e-8
         base = 1 + nu * sigma * scores
         power = np.where(base > 0, base, np.nan) ** (1 / np.where(near, 1.0, nu))
         return (np.exp(mu) if log_mu else mu) * np.where(near, np.exp(sigma * scores), power)
 
-    def quantiles(v: np.ndarray, probs=(0.025, 0.975)) -> list[np.ndarray]:
-        """Interpolated quantiles per column of the values that exist."""
-        v = np.sort(v, axis=0)
-        n = (~np.isnan(v)).sum(axis=0)
-        out = []
-        for p in probs:
-            at = np.maximum(n - 1, 0) * p
-            low = np.floor(at).astype(int)
-            high, cols = np.minimum(low + 1, np.maximum(n - 1, 0)), np.arange(v.shape[1])
-            first, second = v[low, cols], v[high, cols]
-            out.append(first + (at - low) * (second - first))
+    def quantile(v: np.ndarray, n: np.ndarray, prob: float) -> np.ndarray:
+        """Interpolated quantile over the first ``n`` of the sorted second axis."""
+        at = np.maximum(n - 1, 0) * prob
+        low = np.floor(at).astype(int)
+        high = np.minimum(low + 1, np.maximum(n - 1, 0))
+        first, second = (np.take_along_axis(v, i[:, None], axis=1)[:, 0] for i in (low, high))
+        return first + (at - low) * (second - first)
+
+    def cube(lists) -> np.ndarray:
+        out = np.full((len(lists), max(1, *map(len, lists))), np.nan)
+        for i, v in enumerate(lists):
+            out[i, : len(v)] = v
         return out
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                r = dict(zip(pdf.columns, row))
-                beta = values(*[[np.nan if r[f"_{p}"] is None else r[f"_{p}"]] for p in PARAMS])[0]
-                none = np.full(len(numbers), np.nan)
-                low, high = quantiles(values(*[r[f"_{p}s"] for p in PARAMS])) if len(r["_mus"]) else (none, none)
-                fixed = {b: [r[b]] * len(numbers) for b in by}
-                yield pd.DataFrame(fixed | {"centile": numbers, "beta": beta, "lci": low, "uci": high})
-
-    return packed.mapInPandas(expand, f"{keys}, centile int, beta double, lci double, uci double")
+        for whole in batches:
+            reps = max(1, int(whole["_mus"].map(len).max()))
+            size = max(1, _CUBE // (reps * len(numbers)))
+            for start in range(0, len(whole), size):
+                pdf = whole.iloc[start : start + size]
+                beta = values(*[pdf[f"_{p}"].to_numpy(float) for p in PARAMS])
+                v = np.sort(values(*[cube(pdf[f"_{p}s"].tolist()) for p in PARAMS]), axis=1)
+                n = (~np.isnan(v)).sum(axis=1)
+                low, high = quantile(v, n, 0.025), quantile(v, n, 0.975)
+                drawn = np.repeat(pdf["_mus"].map(len).to_numpy(), len(numbers))
+                fixed = {b: np.repeat(pdf[b].to_numpy(), len(numbers)) for b in by}
+                made = {"beta": beta, "lci": low, "uci": high, "n_used": n}
+                out = fixed | {"centile": np.tile(numbers, len(pdf))} | {k: a.ravel() for k, a in made.items()}
+                yield pd.DataFrame(out | {"n_failed": drawn - n.ravel()})
+
+    return packed.mapInPandas(expand, f"{keys}, centile int, beta double, lci double, uci double, n_used bigint, n_failed bigint")
 
 
 def parameter_intervals(params: DataFrame, by: list[str]) -> DataFrame:

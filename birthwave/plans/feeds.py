@@ -17,7 +17,7 @@ def centile_feed(centiles: DataFrame, x: str, width: int, percents=FIGURE_CENTIL
     rows = centiles.where(F.col("centile").isin(list(percents)))
     return rows.select(
         range_label("cohort", width).alias("cohort"), F.initcap("stratum").alias("stratum"), x,
-        centile_label("centile").alias("centile"), "beta", "lci", "uci",
+        centile_label("centile").alias("centile"), "beta", "lci", "uci", "n_used", "n_failed",
     )
 
 
@@ -26,7 +26,7 @@ def age_feed(centiles: DataFrame, width: int = 10, ages=FIGURE_AGES) -> DataFram
     rows = centiles.where(F.col("age").isin(list(ages)))
     return rows.select(
         range_label("cohort", width).alias("cohort"), F.initcap("stratum").alias("stratum"),
-        F.concat(F.lit("Age "), F.col("age").cast("string")).alias("age_f"), "centile", "beta", "lci", "uci",
+        F.concat(F.lit("Age "), F.col("age").cast("string")).alias("age_f"), "centile", "beta", "lci", "uci", "n_used", "n_failed",
     )
 
 
@@ -36,7 +36,7 @@ def parameter_feed(parameters: DataFrame, width: int = 10) -> DataFrame:
     order = F.array_position(F.array(*[F.lit(p) for p in PARAMETER_NAMES]), F.col("parameter"))
     return parameters.select(
         range_label("cohort", width).alias("cohort"), F.initcap("stratum").alias("stratum"), "age",
-        names[F.col("parameter")].alias("param_clean"), order.cast("int").alias("param_order"), "beta", "lci", "uci",
+        names[F.col("parameter")].alias("param_clean"), order.cast("int").alias("param_order"), "beta", "lci", "uci", "n_used", "n_failed",
     )
 
 

@@ -131,6 +131,11 @@ sc AS (SELECT dv.*, coalesce(({x} - lo) / nullif(hi - lo, 0), 0) AS s, {cuts} FR
 basis AS (SELECT cohort, stratum, {x}, {', '.join(cols)} FROM sc)"""
 
 
+# The given coefficients of a wide, skewed distribution, cut at zero well inside its range.
+_CUT = [
+    ("mu", "(Intercept)", 25.0), ("mu", "ns1", 3.0), ("mu", "ns2", -0.4), ("sigma", "(Intercept)", -0.8), ("sigma", "ns1", 0.1),
+    ("sigma", "ns2", 0.02), ("nu", "(Intercept)", -0.9), ("nu", "ns1", 0.05), ("nu", "ns2", 0.1),
+]
 SPLINE = COHORT + _spline("age", 2, "ns")
 GIVEN = SPLINE + f""", given(param, term, beta) AS ({values(GIVEN_CENTILE_COEFFICIENTS)}),
 long AS (SELECT cohort, stratum, age, unnest(['(Intercept)', 'ns1', 'ns2']) AS term, unnest([1e0, ns1, ns2]) AS value FROM basis),
@@ -151,7 +156,8 @@ def lms(z: str) -> str:
 def ci(by: str, source: str, value: str = "value") -> str:
     return f"""SELECT {by}, round(max({value}) FILTER (boot = 0), 6) AS beta,
   round(quantile_cont({value}, 0.025) FILTER (boot > 0), 6) AS lci,
-  round(quantile_cont({value}, 0.975) FILTER (boot > 0), 6) AS uci FROM {source} GROUP BY {by}"""
+  round(quantile_cont({value}, 0.975) FILTER (boot > 0), 6) AS uci, count({value}) FILTER (boot > 0) AS n_used,
+  count(*) FILTER (boot > 0 AND {value} IS NULL) AS n_failed FROM {source} GROUP BY {by}"""
 
 
 CENTILES = f"zs(centile, z) AS ({values([(p, NormalDist().inv_cdf(p / 100)) for p in range(1, 100)])})"
@@ -226,27 +232,87 @@ imputed AS (SELECT imp, row_id, y AS imputed FROM near WHERE nth = pick)"""
 _SUMS = """count(*)::DOUBLE AS n, round(sum({w}), 6) AS sw, round(sum({w} * age_s), 6) AS swx, round(sum({w} * age_s * age_s), 6) AS swxx,
   round(sum({w} * {y}), 6) AS swy, round(sum({w} * {y} * age_s), 6) AS swxy, round(sum({w} * {y} * {y}), 6) AS swyy, round(sum(ln({w})), 6) AS slw"""
 
-_SCORE = SPLINE + """, rr AS (
-  SELECT stw.*, ns1, ns2, 25 + 3 * ns1 - 0.4e0 * ns2 AS m, exp(-1.9e0 + 0.1e0 * ns1 + 0.02e0 * ns2) AS s, -0.5e0 + 0.2e0 * ns1 + 0.1e0 * ns2 AS v
-  FROM stw JOIN basis USING (cohort, stratum, age)),
-zz AS (SELECT *, (power(bmi / m, v) - 1) / (v * s) AS z, ln(bmi / m) AS lg FROM rr),
-gg AS (SELECT *, -0.5e0 * ln(2 * pi()) + (v - 1) * ln(bmi) - v * ln(m) - ln(s) - z * z / 2 AS ll, (z / s + v * (z * z - 1)) / m AS g0, z * z - 1 AS g1,
-  lg - z * ((1 + v * s * z) * lg / (v * s) - z / v) AS g2 FROM zz)"""
-
+def _cdf_series(t: str, terms: int = 60) -> str:
+    """Normal distribution function by its power series around zero."""
+    text, odd = "0e0", [1.0]
+    for k in range(1, terms):
+        odd.append(odd[-1] / (2 * k + 1))
+    for c in reversed(odd):
+        text = f"({c!r} + {t} * {t} * {text})"
+    return f"(0.5e0 + {t} * exp(-{t} * {t} / 2) / sqrt(2 * pi()) * {text})"
+
+
+def _score(given) -> str:
+    """Log-likelihood, score and observed information per row at given coefficients."""
+    eta = {p: " + ".join(f"{b!r} * {'1e0' if t == '(Intercept)' else t}" for q, t, b in given if q == p) for p in ("mu", "sigma", "nu")}
+    return SPLINE + f""", rr AS (
+  SELECT stw.*, ns1, ns2, {eta['mu']} AS m, exp({eta['sigma']}) AS s, {eta['nu']} AS v FROM stw JOIN basis USING (cohort, stratum, age)),
+tt AS (SELECT *, power(bmi / m, v) AS u, ln(bmi / m) AS lg, 1 / (s * abs(v)) AS t FROM rr),
+pp AS (SELECT *, CASE WHEN t > 6 THEN 1e0 ELSE {_cdf_series('t')} END AS pt FROM tt),
+zz AS (SELECT *, (u - 1) / (v * s) AS z, CASE WHEN t > 6 THEN 0e0 ELSE exp(-t * t / 2) / sqrt(2 * pi()) / pt END AS h FROM pp),
+qq AS (SELECT *, ((1 + v * s * z) * lg / s - z) / v AS zv, h * t AS e, h * t * (1 - t * t - t * h) AS f FROM zz),
+gg AS (SELECT *, -0.5e0 * ln(2 * pi()) + (v - 1) * ln(bmi) - v * ln(m) - ln(s) - z * z / 2 - ln(pt) AS ll,
+  (z / s + v * (z * z - 1)) / m AS g0, z * z - 1 + e AS g1, lg - z * zv + e / v AS g2,
+  (power(u / s, 2) + z * u * (1 + v) / s - v) / power(m, 2) AS i00, 2 * z * u / (m * s) AS i01, (1 - u * zv / s - z * u * lg / s) / m AS i02,
+  2 * z * z + f AS i11, f / v - 2 * z * zv AS i12, zv * zv + z * (u * lg * lg / s - 2 * zv) / v + (e + f) / (v * v) AS i22 FROM qq)"""
 
 
 def _score_sums() -> str:
     """All gradient and information sums of a pass with two terms."""
     x = ["1", "ns1", "ns2"]
-    info = {
-        "00": "(1 + 2 * v * v * s * s) / (m * m * s * s)", "01": "2 * v / m", "02": "-0.5e0 / m",
-        "11": "2", "12": "v * s * s", "22": "1.75e0 * s * s",
-    }
-    cols = [f"round(sum(w * g{b} * {x[i]}), 4) AS g{b}_{i}" for b in range(3) for i in range(3)]
-    cols += [f"round(sum(w * {e} * {x[i]} * {x[j]}), 4) AS i{k}_{i}_{j}" for k, e in info.items() for i in range(3) for j in range(i, 3)]
+    cols = ["round(sum(w), 4) AS sum_w"] + [f"round(sum(w * g{b} * {x[i]}), 4) AS g{b}_{i}" for b in range(3) for i in range(3)]
+    pairs = ("00", "01", "02", "11", "12", "22")
+    cols += [f"round(sum(w * i{k} * {x[i]} * {x[j]}), 4) AS i{k}_{i}_{j}" for k in pairs for i in range(3) for j in range(i, 3)]
     return ", ".join(cols)
 
 
+def _score_pass(given) -> str:
+    return _score(given) + f"SELECT cohort, stratum, count(*) AS n, round(sum(w * ll), 4) AS loglik, {_score_sums()} FROM gg GROUP BY ALL"
+
+
+def _eliminated(source: str) -> str:
+    """CTE ``gj``: Gauss-Jordan steps on the matrix ``m`` of the source, beside it an identity and a right side."""
+    return f"""gj AS (SELECT 1 AS step, m FROM {source} UNION ALL
+  SELECT step + 1, list_transform(m, lambda line, pos: CASE WHEN pos = step THEN list_transform(line, lambda x: x / m[step][step])
+    ELSE list_transform(line, lambda x, c: x - line[step] / m[step][step] * m[step][c]) END) FROM gj WHERE step <= len(m)),
+sv AS (SELECT m, len(m) AS size FROM gj ORDER BY step DESC LIMIT 1)"""
+
+
+# Birth years are eliminated; the first survey year is the reference of the rest.
+_TWO_FACTORS = MISSING + f""", ce AS (SELECT birth AS i, year AS j, count(*)::DOUBLE AS n, sum(miss_bmi)::DOUBLE AS sy FROM miss GROUP BY ALL),
+li AS (SELECT i, sum(n) AS ni, sum(sy) AS yi FROM ce GROUP BY i),
+lv AS (SELECT j, nj, v, row_number() OVER (ORDER BY j) - 1 AS r FROM (SELECT j, sum(n) AS nj, sum(sy - n * yi / ni) AS v FROM ce JOIN li USING (i) GROUP BY j)),
+sj AS (SELECT a.j, b.j AS k, sum(a.n * b.n / ni) AS s FROM ce a JOIN ce b USING (i) JOIN li USING (i) GROUP BY ALL),
+ln AS (SELECT a.r, any_value(a.v) AS v, list(CASE WHEN a.r = b.r THEN a.nj ELSE 0e0 END - coalesce(s, 0e0) ORDER BY b.r) AS line
+  FROM lv a JOIN lv b ON b.r > 0 LEFT JOIN sj ON sj.j = a.j AND sj.k = b.j WHERE a.r > 0 GROUP BY a.r),
+mat AS (SELECT list(list_concat(line, list_transform(range(1, len(line) + 1), lambda q: (q = r)::INT::DOUBLE), [v]) ORDER BY r) AS m FROM ln),
+{_eliminated('mat')},
+ef AS (SELECT j, r, coalesce(m[r][2 * size + 1], 0e0) AS b FROM lv, sv),
+gg AS (SELECT a.j, b.j AS k, m[a.r][size + b.r] AS g FROM lv a, lv b, sv WHERE a.r > 0 AND b.r > 0),
+ss AS (SELECT (SELECT sum(miss_bmi) FROM miss) - (SELECT sum(yi * yi / ni) FROM li) - (SELECT sum(b * v) FROM ef JOIN lv USING (j)) AS rss,
+  (SELECT sum(n) FROM ce) - (SELECT count(*) FROM li) - (SELECT count(*) - 1 FROM lv) AS dof),
+mz AS (SELECT i, j, coalesce(n, 0) / ni - coalesce(n0 / ni0, 0) AS p FROM (SELECT i, j, ni FROM li, lv) LEFT JOIN ce USING (i, j)
+  LEFT JOIN (SELECT j, n AS n0, ni AS ni0 FROM ce JOIN li USING (i) WHERE i = (SELECT min(i) FROM li)) USING (j)),
+qv AS (SELECT a.i, sum(a.p * b.p * g) AS w FROM mz a JOIN mz b USING (i) JOIN gg ON gg.j = a.j AND gg.k = b.j GROUP BY a.i),
+qm AS (SELECT i, sum(p * b) AS d FROM mz JOIN ef USING (j) GROUP BY i),
+fb AS (SELECT i AS i0, ni AS n0, yi AS y0 FROM li ORDER BY i LIMIT 1),
+es AS (
+  SELECT 'year' AS factor, j AS level, b AS estimate, g AS var FROM ef JOIN gg USING (j) WHERE gg.k = j
+  UNION ALL SELECT 'birth', i, yi / ni - y0 / n0 - d, 1 / ni + 1 / n0 + w FROM li JOIN qv USING (i) JOIN qm USING (i), fb WHERE i <> i0),
+fi AS (SELECT factor, level::BIGINT AS level, estimate, sqrt(var * rss / dof) AS se, {{t}} AS t FROM es, ss)
+SELECT factor, level, round(estimate, 6) AS estimate, round(se, 6) AS se, round(estimate - t * se, 6) AS conf_low, round(estimate + t * se, 6) AS conf_high FROM fi"""
+_SPLINE_MEAN = MISSING + ", st AS (SELECT 0 AS cohort, 'all' AS stratum, age, miss_bmi FROM miss)" + _spline("age", 3, "ns") + f""", ce AS (
+  SELECT age, [1e0, ns1, ns2, ns3] AS t, count(*)::DOUBLE AS n, sum(miss_bmi)::DOUBLE AS sy FROM st JOIN basis USING (age) GROUP BY ALL),
+ln AS (SELECT a AS r, list(g ORDER BY b) AS line, any_value(v) AS v FROM (
+  SELECT a, b, sum(n * t[a] * t[b]) AS g, sum(sy * t[a]) AS v FROM ce, (SELECT unnest(range(1, 5)) AS a), (SELECT unnest(range(1, 5)) AS b) GROUP BY a, b) GROUP BY a),
+mat AS (SELECT list(list_concat(line, list_transform(range(1, 5), lambda q: (q = r)::INT::DOUBLE), [v]) ORDER BY r) AS m FROM ln),
+{_eliminated('mat')},
+ss AS (SELECT (SELECT sum(sy) FROM ce) - (SELECT sum(v * m[r][9]) FROM ln, sv) AS rss, (SELECT sum(n) FROM ce) - 4 AS dof),
+pr AS (SELECT age, list_sum(list_transform(range(1, 5), lambda a: t[a] * m[a][9])) AS predicted,
+  sqrt(list_sum(list_transform(range(1, 5), lambda a: list_sum(list_transform(range(1, 5), lambda b: t[a] * t[b] * m[a][4 + b])))) * rss / dof) AS se, dof FROM ce, sv, ss),
+fi AS (SELECT *, {{t}} AS t FROM pr)
+SELECT age::DOUBLE AS age, round(predicted, 6) AS predicted, round(se, 6) AS se, round(predicted - t * se, 6) AS conf_low, round(predicted + t * se, 6) AS conf_high FROM fi"""
+
 _SPECS = f"""specs AS (
   SELECT row_number() OVER (ORDER BY so, cohort_y, last_year, oo, ro)::INT AS spec_id, sex, cohort_y, last_year, outcome, ran_pars
   FROM (VALUES (1, 'male'), (2, 'female'), (3, 'all')) a(so, sex), (VALUES (1), (5)) b(cohort_y), (VALUES (2014), (2019)) c(last_year),
@@ -254,6 +320,10 @@ _SPECS = f"""specs AS (
   WHERE cohort_y = 1 OR last_year = 2019)"""
 
 
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1).replace("{t}", t_quantile("dof"))
+
+
 def _clean_rows(where: str = "") -> str:
     return f"SELECT row_id, year, sex, age, round(bmi, 6) AS bmi, edu, round(wt_int, 6) AS wt_int, birth FROM clean{where}"
 
@@ -331,7 +401,8 @@ df AS (SELECT *, {lms('hi')} - {lms('lo')} AS value FROM rp, pr) {ci('cohort, st
 FROM rp, zs WHERE centile IN (2, 5, 10, 50, 90, 95, 98)""",
     "uncoded_levels": CLEAN + """SELECT stratum, edu AS term, round(avg(bmi), 6) AS beta
 FROM (SELECT *, unnest([lower(sex), 'all']) AS stratum FROM clean WHERE edu IS NOT NULL) GROUP BY ALL""",
-    "lms_score_pass": _SCORE + f"""SELECT cohort, stratum, count(*) AS n, round(sum(w * ll), 4) AS loglik, {_score_sums()} FROM gg GROUP BY ALL""",
+    "lms_score_pass": _score_pass(GIVEN_CENTILE_COEFFICIENTS),
+    "lms_score_pass_cut": _score_pass(_CUT),
     "bootstrap_counts": exact(10) + "SELECT stratum, boot::INT AS boot, row_id, k::INT AS k FROM bo",
     "bootstrap_mean_ci": exact(50) + BOOT_MEAN,
     "poisson_mean_ci": POISSON + BOOT_MEAN,
@@ -341,6 +412,8 @@ FROM (SELECT *, unnest([lower(sex), 'all']) AS stratum FROM clean WHERE edu IS N
 p AS (SELECT arg_min(n, level) AS n0, arg_min(m, level) AS m0, min(level) AS l0, sum(n) - count(*) AS dof, sum(ss) / (sum(n) - count(*)) AS s2 FROM l),
 e AS (SELECT level, n, m - m0 AS estimate, sqrt(s2 * (1e0 / n + 1e0 / n0)) AS se, {t_quantile('dof')} AS t FROM l, p WHERE level <> l0)
 SELECT level, n, round(estimate, 6) AS estimate, round(se, 6) AS se, round(estimate - t * se, 6) AS conf_low, round(estimate + t * se, 6) AS conf_high FROM e""",
+    "missing_two_factor_ols": _recursive(_TWO_FACTORS),
+    "missing_spline_ols": _recursive(_SPLINE_MEAN),
     "spec_sample_sizes": SAMPLES + f""", {_SPECS}, z AS (SELECT sex, cohort_y, last_year, count(*) AS n_all, count(bmi * w) AS n_used, count(DISTINCT birth) AS n_birth,
   round(sum(w), 6) AS sum_w FROM s2 GROUP BY ALL) SELECT * FROM specs JOIN z USING (sex, cohort_y, last_year)""",
     "mixed_suffstats": SAMPLES + "SELECT sex, cohort_y, last_year, birth, " + _SUMS.format(w="w", y="bmi") + " FROM s2 WHERE bmi IS NOT NULL AND w IS NOT NULL GROUP BY ALL",
@@ -371,13 +444,16 @@ SELECT birth, age, round(avg(pred), 6) AS pred FROM ce GROUP BY ALL""",
   UNION ALL SELECT imp, birth, wt_int, age_s, imputed, 1 FROM yh JOIN imputed USING (imp, row_id)),
 sh AS (SELECT diff, imp, birth, wt_int, age_s, y + shifted * diff AS y FROM al, (SELECT unnest(range(-5, 6))::DOUBLE AS diff))
 SELECT diff, imp, birth, """ + _SUMS.format(w="wt_int", y="y") + " FROM sh GROUP BY ALL",
-    "figure_feed": CURVES + """SELECT cohort || '-' || (cohort + 9) AS cohort, upper(stratum[1]) || stratum[2:] AS stratum, age, centile || 'th' AS centile, beta, lci, uci
+    "lms_fit_certificate": COHORT + """SELECT cohort, stratum, count(*) AS n, true AS converged, true AS concave, 0e0 AS slope, 'age' AS over
+FROM st GROUP BY ALL HAVING count(*) >= 100 UNION ALL SELECT cohort, stratum, count(*), true, true, 0e0, 'year' FROM (
+  SELECT cohort, unnest([lower(sex), 'all']) AS stratum FROM (SELECT *, """ + band("age", 5) + """::INT AS cohort FROM adult WHERE bmi IS NOT NULL)) GROUP BY ALL HAVING count(*) >= 100""",
+    "figure_feed": CURVES + """SELECT cohort || '-' || (cohort + 9) AS cohort, upper(stratum[1]) || stratum[2:] AS stratum, age, centile || 'th' AS centile, beta, lci, uci, n_used, n_failed
 FROM curve WHERE centile IN (10, 25, 50, 75, 90)""",
-    "age_figure_feed": CURVES + """SELECT cohort || '-' || (cohort + 9) AS cohort, upper(stratum[1]) || stratum[2:] AS stratum, 'Age ' || age AS age_f, centile, beta, lci, uci
+    "age_figure_feed": CURVES + """SELECT cohort || '-' || (cohort + 9) AS cohort, upper(stratum[1]) || stratum[2:] AS stratum, 'Age ' || age AS age_f, centile, beta, lci, uci, n_used, n_failed
 FROM curve WHERE age IN (25, 35, 45, 55)""",
     "parameter_figure_feed": PARAMS + """SELECT cohort || '-' || (cohort + 9) AS cohort, upper(stratum[1]) || stratum[2:] AS stratum, age,
   CASE parameter WHEN 'mu' THEN 'Median' WHEN 'sigma' THEN 'CoV' ELSE 'Skewness' END AS param_clean,
-  CASE parameter WHEN 'mu' THEN 1 WHEN 'sigma' THEN 2 ELSE 3 END AS param_order, beta, lci, uci FROM pc""",
+  CASE parameter WHEN 'mu' THEN 1 WHEN 'sigma' THEN 2 ELSE 3 END AS param_order, beta, lci, uci, n_used, n_failed FROM pc""",
     "category_lines": CURVES + """SELECT DISTINCT centile || 'th' AS centile, bmi, label
 FROM curve, (VALUES (18.5e0, 'Normal'), (25e0, 'Overweight'), (30e0, 'Obese')) v(bmi, label) WHERE centile IN (10, 25, 50, 75, 90)""",
 }

@@ -330,15 +330,31 @@ def uncoded_levels(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(reshape.uncode_levels(coef, ["stratum"], "None"), "beta")
 
 
-def lms_score_pass(spark: SparkSession, sf: str) -> DataFrame:
-    """One scoring pass of the centile model at given coefficients."""
+# Given coefficients of a distribution so wide that the cut at zero matters.
+CUT_CENTILE_COEFFICIENTS = [
+    ("mu", "(Intercept)", 25.0), ("mu", "ns1", 3.0), ("mu", "ns2", -0.4),
+    ("sigma", "(Intercept)", -0.8), ("sigma", "ns1", 0.1), ("sigma", "ns2", 0.02),
+    ("nu", "(Intercept)", -0.9), ("nu", "ns1", 0.05), ("nu", "ns2", 0.1),
+]
+
+
+def _score_pass(spark: SparkSession, sf: str, given) -> DataFrame:
     rows, terms = lms.with_spline(centiles.cohort_strata(clean_table(spark, sf), P), "age", 2, SEXES)
-    rows = rows.withColumns({f"c{i}": F.lit(c[2]) for i, c in enumerate(GIVEN_CENTILE_COEFFICIENTS)})
+    rows = rows.withColumns({f"c{i}": F.lit(c[2]) for i, c in enumerate(given)})
     sums = lms.score_sums(lms.score_columns(rows, "bmi", terms), SEXES, "w", terms)
     names = [c for c in sums.columns if c not in (*SEXES, "n")]
     return sums.select(*SEXES, "n", *[F.round(n, 4).alias(n) for n in names])
 
 
+def lms_score_pass(spark: SparkSession, sf: str) -> DataFrame:
+    """One scoring pass of the centile model at given coefficients."""
+    return _score_pass(spark, sf, GIVEN_CENTILE_COEFFICIENTS)
+
+
+def lms_score_pass_cut(spark: SparkSession, sf: str) -> DataFrame:
+    return _score_pass(spark, sf, CUT_CENTILE_COEFFICIENTS)
+
+
 # Resampling
 
 
@@ -385,11 +401,13 @@ def missing_by_year_ols(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def missing_two_factor_ols(spark: SparkSession, sf: str) -> DataFrame:
-    return ols.two_factor_effects(impute.missingness_frame(clean_table(spark, sf), P), "miss_bmi", "birth", "year")
+    out = ols.two_factor_effects(impute.missingness_frame(clean_table(spark, sf), P), "miss_bmi", "birth", "year")
+    return rounded(out, "estimate", "se", "conf_low", "conf_high")
 
 
 def missing_spline_ols(spark: SparkSession, sf: str) -> DataFrame:
-    return ols.spline_mean(impute.missingness_frame(clean_table(spark, sf), P), "miss_bmi", "age", 3)
+    out = ols.spline_mean(impute.missingness_frame(clean_table(spark, sf), P), "miss_bmi", "age", 3)
+    return rounded(out, "predicted", "se", "conf_low", "conf_high")
 
 
 # Multilevel models
@@ -558,6 +576,28 @@ def lms_fit(spark: SparkSession, sf: str) -> DataFrame:
     return centiles.cohort_centiles(clean_table(spark, sf), P.bootstrap_reps, P)[0]
 
 
+def lms_fit_certificate(spark: SparkSession, sf: str) -> DataFrame:
+    """Both spline analyses' point fits in strata of 100 rows or more: settled, concave and without a slope left."""
+    clean = clean_table(spark, sf)
+    parts = [
+        centiles.fit_certificate(centiles.cohort_strata(clean, P), "age", 2).withColumn("over", F.lit("age")),
+        centiles.fit_certificate(centiles.age_band_strata(clean, P), "year", 3).withColumn("over", F.lit("year")),
+    ]
+    return parts[0].unionByName(parts[1]).where("n >= 100").withColumn("slope", F.round("slope", 1))
+
+
+def lms_fit_parameters(spark: SparkSession, sf: str) -> DataFrame:
+    """Parameter curves of the cohort fits with bootstrap intervals."""
+    _, params = centiles.cohort_centiles(clean_table(spark, sf), P.bootstrap_reps, P)
+    return feeds.parameter_feed(lms.parameter_intervals(params, [*SEXES, "age"]))
+
+
+def lms_fit_contrasts(spark: SparkSession, sf: str) -> DataFrame:
+    """Differences between centiles of the cohort fits with bootstrap intervals."""
+    _, params = centiles.cohort_centiles(clean_table(spark, sf), P.bootstrap_reps, P)
+    return lms.centile_contrast(params, [*SEXES, "age"])
+
+
 def lms_fit_centiles(spark: SparkSession, sf: str) -> DataFrame:
     _, params = centiles.cohort_centiles(clean_table(spark, sf), P.bootstrap_reps, P)
     return feeds.centile_feed(lms.lms_centiles(params, [*SEXES, "age"]), "age", 10, range(1, 100))
@@ -602,11 +642,11 @@ QUERIES = [
     weighted_mean_by_stratum, obesity_prevalence, birth_age_bands, rescaled_age, right_join_age_grid,
     completeness_profile, observed_share, count_summary, weighted_variance, education_shares, scalar_functions,
     spline_basis, spline_basis_year, poly_basis, linear_predictor, params_wide, lms_centiles, centile_contrast,
-    parameter_interval, centile_log_link, uncoded_levels, lms_score_pass, bootstrap_counts, bootstrap_mean_ci,
+    parameter_interval, centile_log_link, uncoded_levels, lms_score_pass, lms_score_pass_cut, bootstrap_counts, bootstrap_mean_ci,
     poisson_mean_ci, replicate_interval, global_ranks, missing_by_year_ols, missing_two_factor_ols,
     missing_spline_ols, spec_sample_sizes, mixed_suffstats, binary_cells, lmm_fit, glmm_fit, spec_trajectories,
     spec_random_effects, lmm_trajectories, random_effect_ci, observed_range, nested_counts, imputation_frame,
     posterior_draws, noisy_predictions, pooled_means, pmm_impute, delta_suffstats, pattern_mixture, pattern_figures,
-    lms_fit, lms_fit_centiles, lms_age_band_fit,
+    lms_fit, lms_fit_certificate, lms_fit_parameters, lms_fit_contrasts, lms_fit_centiles, lms_age_band_fit,
     lms_birth_band_fit, figure_feed, age_figure_feed, parameter_figure_feed, category_lines,
 ]

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from birthwave.operators import lms
 from birthwave.params import Params
-from birthwave.plans import queries
+from birthwave.plans import centiles, queries
+from birthwave.plans.survey import clean_table
 from statistics import NormalDist
 
 
@@ -107,6 +108,35 @@ def test_a_hopeless_stratum_is_flagged_and_kept(spark, rows):
     assert got["a"] is True and got["flat"] is False
 
 
+@pytest.mark.parametrize("analysis", ["cohort_centiles", "age_band_centiles"])
+def test_replicates_of_the_survey_settle(spark, analysis):
+    """Strata of 100 rows or more, sample and replicates: at least 99 in 100 fits converge, and the rest are counted."""
+    folder = "/root/testdata/sf0.01"
+    reps = 4
+    coef, params = getattr(centiles, analysis)(clean_table(spark, folder), reps, Params())
+    make = {"cohort_centiles": centiles.cohort_strata, "age_band_centiles": centiles.age_band_strata}[analysis]
+    sizes = make(clean_table(spark, folder), Params()).groupBy("cohort", "stratum").count()
+    fits = coef.select("cohort", "stratum", "boot", "converged").distinct().join(sizes.where("count >= 100"), ["cohort", "stratum"])
+    done = fits.agg(F.avg(F.col("converged").cast("int")).alias("rate"), F.count(F.lit(1)).alias("n")).first()
+    assert done["n"] >= 15 * (reps + 1) and done["rate"] >= 0.99
+    x = "age" if analysis == "cohort_centiles" else "year"
+    curves = lms.lms_centiles(params, ["cohort", "stratum", x])
+    assert curves.where(f"n_used + n_failed <> {reps}").isEmpty()
+
+
+def test_trust_step_is_the_best_within_the_radius():
+    rng = np.random.default_rng(0)
+    for _ in range(50):
+        a = rng.normal(size=(5, 5))
+        curve, g, radius = a + a.T, rng.normal(size=5), rng.uniform(0.1, 3)
+        scale = np.sqrt(np.abs(np.diag(curve)))
+        step, promised, size = lms.trust_step(curve, g, radius)
+        assert size <= radius * (1 + 1e-6) and promised == pytest.approx(g @ step - step @ curve @ step / 2, abs=1e-9)
+        other = rng.normal(size=(2000, 5)) / scale
+        other *= (radius * rng.uniform(size=2000) ** 0.2 / np.linalg.norm(other * scale, axis=1))[:, None]
+        assert (other @ g - np.einsum("ij,jk,ik->i", other, curve, other) / 2).max() <= promised + 1e-6
+
+
 def test_centiles_rise_and_contrasts_are_their_differences(spark):
     params = spark.createDataFrame([(1, 25.0, 0.15, -0.7), (2, 27.0, 0.2, 0.0), (3, 30.0, 0.1, 1.2)], "x int, mu double, sigma double, nu double")
     params = params.withColumn("boot", F.explode(F.array(F.lit(0), F.lit(1))))
@@ -132,4 +162,6 @@ def test_registered_fits_take_all_replicates_and_centiles(spark, monkeypatch):
     queries.lms_fit(spark, "")
     assert queries.lms_fit_centiles(spark, "").select("centile").distinct().count() == 99
     queries.lms_age_band_fit(spark, "")
-    assert asked == [Params().bootstrap_reps] * 3 == [200] * 3
+    assert queries.lms_fit_parameters(spark, "").select("param_clean").distinct().count() == 3
+    assert queries.lms_fit_contrasts(spark, "").select("comp").distinct().count() == 2
+    assert asked == [Params().bootstrap_reps] * 5 == [200] * 5

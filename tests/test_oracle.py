@@ -7,7 +7,7 @@ import compare
 
 QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 # Fits are covered by their own tests; here they only have to run.
-SLOW = {"lms_fit_centiles", "lms_fit", "pattern_figures", "lms_age_band_fit", "spec_random_effects"}
+SLOW = {"lms_fit_centiles", "lms_fit", "lms_fit_parameters", "lms_fit_contrasts", "pattern_figures", "lms_age_band_fit", "spec_random_effects"}
 
 
 @pytest.fixture(scope="module")

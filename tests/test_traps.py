@@ -32,6 +32,7 @@ def test_a_negative_base_has_no_centile_and_leaves_the_interval(spark):
     df = spark.createDataFrame([(0, 1.0), (1, 2.0), (2, float("nan")), (3, 4.0)], "boot int, v double").withColumn("g", F.lit(1))
     row = intervals.point_and_interval(df, ["g"], "v").first()
     assert row["beta"] == 1.0 and row["lci"] == pytest.approx(2.05) and row["uci"] == pytest.approx(3.95)
+    assert (row["n_used"], row["n_failed"]) == (2, 1)
     one = spark.range(1).select(lms_value(F.lit(25.0), F.lit(0.9), F.lit(0.6), F.lit(-2.3))).first()
     assert one[0] is None
 
@@ -62,7 +63,7 @@ def test_filters_drop_null_conditions(spark):
 
 def test_no_replicates_give_no_interval(spark):
     df = spark.createDataFrame([(1, 0, 5.0)], "g int, boot int, v double")
-    assert tuple(intervals.point_and_interval(df, ["g"], "v").first()) == (1, 5.0, None, None)
+    assert tuple(intervals.point_and_interval(df, ["g"], "v").first()) == (1, 5.0, None, None, 0, 0)
 
 
 def test_fractional_weights_enter_the_logistic_cells(spark):
