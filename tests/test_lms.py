@@ -108,20 +108,72 @@ def test_a_hopeless_stratum_is_flagged_and_kept(spark, rows):
     assert got["a"] is True and got["flat"] is False
 
 
-@pytest.mark.parametrize("analysis", ["cohort_centiles", "age_band_centiles"])
+def _sums(c, x, y, w):
+    """A scoring pass in NumPy, as the row that the state step takes."""
+    p = x.shape[1]
+    with np.errstate(all="ignore"):
+        m, s, v = x @ c[:p], np.exp(x @ c[p : 2 * p]), x @ c[2 * p :]
+        m = np.where(m > 0, m, np.nan)
+        v = np.where(np.abs(v) >= 1e-4, v, np.where(v < 0, -1e-4, 1e-4))
+        lg, t = np.log(y / m), 1 / (s * np.abs(v))
+        u = np.exp(v * lg)
+        z = (u - 1) / (v * s)
+        cdf = np.array([NormalDist().cdf(min(i, 40.0)) if np.isfinite(i) else np.nan for i in t])
+        h = np.exp(-t * t / 2) / np.sqrt(2 * np.pi) / cdf
+        q, r = (u * lg / s - z) / v, 1 - t * (t + h)
+        loglik = w @ ((v - 1) * np.log(y) - v * np.log(m) - np.log(s) - z * z / 2 - np.log(cdf) - np.log(2 * np.pi) / 2)
+        g = [(z * u / s - v) / m, z * z - 1 + h * t, lg - z * q + h * t / v]
+        info = {
+            "00": (u * u / s**2 + z * u * (1 + v) / s - v) / m**2, "01": 2 * z * u / (m * s), "02": (1 - u * (q + z * lg) / s) / m,
+            "11": 2 * z * z + h * t * r, "12": h * t * r / v - 2 * z * q,
+            "22": q * q + z * (u * lg * lg / s - 2 * q) / v + h * t * (1 + r) / v**2,
+        }
+        out = {"n": len(y), "sum_w": w.sum(), "new_loglik": float(loglik)}
+        out |= {f"g{b}_{i}": float((w * g[b]) @ x[:, i]) for b in range(3) for i in range(p)}
+        return out | {f"i{k}_{i}_{j}": float((w * e * x[:, i]) @ x[:, j]) for k, e in info.items() for i in range(p) for j in range(i, p)}
+
+
+def _settle(x, y, w, start):
+    """Status and coefficients of one key under the operator's own steps."""
+    p = x.shape[1]
+    advance = lms._advance(p, 1e-3, 100)
+    state = dict(no=0, boot=0, coef=start, trial=start, grad=[], curve=[], radius=0.0, size=0.0, promised=0.0, slope=0.0,
+                 loglik=float("nan"), cycles=0, status="run")
+    while state["status"] == "run":
+        row = state | _sums(np.asarray(state["trial"]), x, y, w)
+        state = next(advance([pd.DataFrame([row])])).iloc[0].to_dict()
+    return state["status"], np.asarray(state["coef"])
+
+
+@pytest.mark.parametrize("analysis", ["cohort", "age band"])
 def test_replicates_of_the_survey_settle(spark, analysis):
-    """Strata of 100 rows or more, sample and replicates: at least 99 in 100 fits converge, and the rest are counted."""
-    folder = "/root/testdata/sf0.01"
-    reps = 4
-    coef, params = getattr(centiles, analysis)(clean_table(spark, folder), reps, Params())
-    make = {"cohort_centiles": centiles.cohort_strata, "age_band_centiles": centiles.age_band_strata}[analysis]
-    sizes = make(clean_table(spark, folder), Params()).groupBy("cohort", "stratum").count()
-    fits = coef.select("cohort", "stratum", "boot", "converged").distinct().join(sizes.where("count >= 100"), ["cohort", "stratum"])
-    done = fits.agg(F.avg(F.col("converged").cast("int")).alias("rate"), F.count(F.lit(1)).alias("n")).first()
-    assert done["n"] >= 15 * (reps + 1) and done["rate"] >= 0.99
-    x = "age" if analysis == "cohort_centiles" else "year"
-    curves = lms.lms_centiles(params, ["cohort", "stratum", x])
-    assert curves.where(f"n_used + n_failed <> {reps}").isEmpty()
+    """At least 99 in 100 fits of the survey's strata of 100 rows or more, samples and replicates, converge."""
+    clean = clean_table(spark, "/root/testdata/sf0.01")
+    make, x, terms = {"cohort": (centiles.cohort_strata, "age", 2), "age band": (centiles.age_band_strata, "year", 3)}[analysis]
+    rows, names = lms.with_spline(make(clean, Params()), x, terms, ["cohort", "stratum"])
+    rows = rows.select("cohort", "stratum", "row_id", "bmi", "w", *names).toPandas().sort_values("row_id")
+    rng, ends = np.random.default_rng(0), []
+    for _, d in rows.groupby(["cohort", "stratum"]):
+        if len(d) < 100:
+            continue
+        design, y, w = np.column_stack([np.ones(len(d)), d[names]]), d.bmi.to_numpy(), d.w.to_numpy()
+        start = np.zeros((3, len(names) + 1))
+        start[:, 0] = y.mean(), np.log(max(0.01, y.std() / y.mean())), -0.5
+        status, point = _settle(design, y, w, start.ravel())
+        ends.append(status)
+        for _ in range(6):
+            k = rng.poisson(1, len(d))
+            ends.append(_settle(design[k > 0], y[k > 0], (w * k)[k > 0], point)[0])
+    assert len(ends) >= 100 and ends.count("converged") >= 0.99 * len(ends), ends
+
+
+def test_curves_count_used_and_failed_replicates(spark):
+    rows = [("a", 0, 25.0), ("a", 1, 26.0), ("a", 2, None), ("a", 3, 24.0), ("b", 0, 25.0)]
+    params = spark.createDataFrame(rows, "g string, boot int, mu double").withColumns({"sigma": F.lit(0.1), "nu": F.lit(-0.5)})
+    got = {r["g"]: (r["n_used"], r["n_failed"]) for r in lms.lms_centiles(params, ["g"], [50]).collect()}
+    assert got == {"a": (2, 1), "b": (0, 0)}
+    got = {(r["n_used"], r["n_failed"]) for r in lms.centile_contrast(params.where("g = 'a'"), ["g"]).collect()}
+    assert got == {(2, 1)}
 
 
 def test_trust_step_is_the_best_within_the_radius():
