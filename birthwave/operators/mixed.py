@@ -9,14 +9,15 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import band, interval, inverse_logit
 from ..params import Params
 from .reshape import linear_predictor
-from .solvers import laplace_fit, reml_fit
+from .solvers import laplace, laplace_fit, reml, reml_fit
 from .staging import join_summary
 
 INTERCEPT, SLOPE = "(Intercept)", "age_s"
@@ -165,6 +166,151 @@ def fit_glmm(cells: DataFrame, by: list[str], randoms=("1 + age_s",)) -> DataFra
     return rows.groupBy(*by, "ran_pars").applyInPandas(fit, f"{key_schema}, {FIT_SCHEMA}")
 
 
+def terms_of(formula: str) -> list[str]:
+    """Term columns of a formula such as ``1 + x1 + x2``; ``-1`` or ``0`` leaves the intercept out."""
+    names = [t.strip() for t in formula.split("+")]
+    return [INTERCEPT if t == "1" else t for t in names if t not in ("-1", "0")]
+
+
+def _model_schema(rows: DataFrame, by: list[str], group: str) -> str:
+    keys = [f"{f.name} {f.dataType.simpleString()}, " for f in rows.select(*by).schema]
+    kind = rows.schema[group].dataType.simpleString()
+    return "".join(keys) + (
+        "n double, terms array<string>, beta array<double>, vcov array<double>, random array<string>, cov array<double>, "
+        "sigma double, loglik double, aic double, bic double, singular boolean, converged boolean, reml boolean, "
+        f"groups array<struct<level:{kind},effect:array<double>,var:array<double>>>"
+    )
+
+
+def _model_row(keys: tuple, by: list[str], levels, fit: dict, fixed: list[str], random: list[str], by_reml: bool) -> pd.DataFrame:
+    groups = [dict(level=g, effect=u.tolist(), var=v.ravel().tolist()) for g, u, v in zip(levels, fit["re"], fit["re_var"])]
+    row = dict(zip(by, keys)) | {k: fit[k] for k in ("n", "sigma", "loglik", "aic", "bic", "singular", "converged")}
+    lists = {k: np.asarray(fit[k]).ravel().tolist() for k in ("beta", "vcov", "cov")}
+    return pd.DataFrame([row | lists | {"terms": fixed, "random": random, "reml": by_reml, "groups": groups}])
+
+
+def _term(name: str) -> Column:
+    return F.lit(1.0) if name == INTERCEPT else F.col(name).cast("double")
+
+
+def _random_places(fixed: list[str], random: list[str]) -> list[int]:
+    missing = [t for t in random if t not in fixed]
+    if missing or not random:
+        raise ValueError(f"random terms must be some of the fixed terms {fixed}; got {random}")
+    return [fixed.index(t) for t in random]
+
+
+def fit_linear(rows: DataFrame, by: list[str], group: str, y: str, w: str | None, fixed: str, random: str) -> DataFrame:
+    """Linear mixed models by REML with any terms, the random ones among the fixed; one row per key.
+
+    Rows are read once, into cross products per key and group; rows without an
+    outcome, a weight or a term take no part. A key's solver sees one row of
+    sums per group. An empty ``by`` fits one model.
+    """
+    names, vary = terms_of(fixed), terms_of(random)
+    places, p = _random_places(names, vary), len(names)
+    weight = F.lit(1.0) if w is None else F.col(w).cast("double")
+    data = rows.select(*by, F.col(group), F.col(y).cast("double").alias("_y"), weight.alias("_w"), *[_term(t).alias(f"_t{i}") for i, t in enumerate(names)])
+    data = data.na.drop(subset=[group, "_y", "_w", *[f"_t{i}" for i in range(p)]]).where("_w > 0")
+    at = [(i, j) for i in range(p) for j in range(p)]
+    wide = data.groupBy(*by, group).agg(
+        F.count(F.lit(1)).cast("double").alias("_n"), F.sum(F.log("_w")).alias("_slw"), F.sum(F.expr("_w * _y * _y")).alias("_q"),
+        F.array(*[F.sum(F.expr(f"_w * _t{i} * _t{j}")) for i, j in at]).alias("_a"),
+        F.array(*[F.sum(F.expr(f"_w * _t{i} * _y")) for i in range(p)]).alias("_c"),
+    )
+
+    def fit(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(group)
+        a, c = np.stack(pdf["_a"].to_numpy()).reshape(-1, p, p), np.stack(pdf["_c"].to_numpy())
+        result = reml(a, c, pdf["_q"].sum(), pdf["_n"].sum(), pdf["_slw"].sum(), places)
+        return _model_row(keys, by, pdf[group], result, names, vary, True)
+
+    return wide.groupBy(*by).applyInPandas(fit, _model_schema(wide, by, group))
+
+
+def fit_logistic(rows: DataFrame, by: list[str], group: str, y: str, w: str | None, fixed: str, random: str) -> DataFrame:
+    """Logistic mixed models of a 0/1 outcome by the Laplace approximation, with any terms; one row per key.
+
+    Rows shrink to weighted trials and events per key, group and combination of term values.
+    """
+    names, vary = terms_of(fixed), terms_of(random)
+    places, p = _random_places(names, vary), len(names)
+    weight = F.lit(1.0) if w is None else F.col(w).cast("double")
+    data = rows.select(*by, F.col(group), F.col(y).cast("double").alias("_y"), weight.alias("_w"), *[_term(t).alias(f"_t{i}") for i, t in enumerate(names)])
+    terms = [f"_t{i}" for i in range(p)]
+    data = data.na.drop(subset=[group, "_y", "_w", *terms]).where("_w > 0")
+    cells = data.groupBy(*by, group, *terms).agg(
+        F.count(F.lit(1)).cast("double").alias("_n"), F.sum("_w").alias("_sw"), F.sum(F.expr("_w * _y")).alias("_so")
+    )
+
+    def fit(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        levels, g = np.unique(pdf[group].to_numpy(), return_inverse=True)
+        result = laplace(pdf[terms].to_numpy(float), pdf["_sw"].to_numpy(float), pdf["_so"].to_numpy(float), pdf["_n"].sum(), g, places)
+        return _model_row(keys, by, levels.tolist(), result, names, vary, False)
+
+    return cells.groupBy(*by).applyInPandas(fit, _model_schema(cells, by, group))
+
+
+def as_models(fits: DataFrame, by: list[str]) -> DataFrame:
+    """Fits of the specification grid in the layout of ``fit_linear`` and ``fit_logistic``."""
+    slope_only = F.col("ran_pars").startswith("-1")
+    v, sd = F.col("vcov"), F.col("sd")
+    cross = F.col("cor") * sd[0] * sd[1]
+    both = F.array(F.lit(INTERCEPT), F.lit(SLOPE))
+    groups = F.transform("groups", lambda g: F.struct(
+        g["birth"].alias("level"),
+        F.when(slope_only, F.array(g["re1"])).otherwise(F.array(g["re0"], g["re1"])).alias("effect"),
+        F.when(slope_only, F.array(g["v11"])).otherwise(F.array(g["v00"], g["v01"], g["v01"], g["v11"])).alias("var"),
+    ))
+    return fits.select(
+        *by, "n", both.alias("terms"), "beta", F.array(v[0], v[1], v[1], v[2]).alias("vcov"),
+        F.when(slope_only, F.array(F.lit(SLOPE))).otherwise(both).alias("random"),
+        F.when(slope_only, F.array(sd[1] * sd[1])).otherwise(F.array(sd[0] * sd[0], cross, cross, sd[1] * sd[1])).alias("cov"),
+        "sigma", "loglik", "aic", "bic", "singular", "converged", (F.col("outcome") == "bmi").alias("reml"), groups.alias("groups"),
+    )
+
+
+def model_terms(models: DataFrame, by: list[str], group: str = "birth") -> DataFrame:
+    """Long summary: fixed effects with standard errors and statistics, then deviations and correlations of the random part.
+
+    A logistic model has no residual deviation.
+    """
+    fixed = F.expr("""transform(terms, (t, i) -> struct(
+        'fixed' AS effect, cast(null AS string) AS `group`, t AS term, get(beta, i) AS estimate, sqrt(get(vcov, i * size(terms) + i)) AS se))""")
+    spread = F.expr(f"""transform(random, (t, i) -> struct(
+        'ran_pars' AS effect, '{group}' AS `group`, 'sd__' || t AS term, sqrt(get(cov, i * size(random) + i)) AS estimate, cast(null AS double) AS se))""")
+    linked = F.expr(f"""flatten(transform(random, (t, i) -> transform(slice(random, i + 2, size(random)), (o, j) -> struct(
+        'ran_pars' AS effect, '{group}' AS `group`, 'cor__' || t || '.' || o AS term,
+        get(cov, i * size(random) + i + 1 + j) / nullif(sqrt(get(cov, i * size(random) + i) * get(cov, (i + 1 + j) * size(random) + i + 1 + j)), 0D) AS estimate,
+        cast(null AS double) AS se))))""")
+    left = F.expr("""if(reml, array(struct('ran_pars' AS effect, 'Residual' AS `group`, 'sd__Observation' AS term, sigma AS estimate, cast(null AS double) AS se)),
+        array())""")
+    rows = models.select(*by, F.inline(F.concat(fixed, spread, linked, left)))
+    return rows.withColumn("statistic", F.col("estimate") / F.nullif(F.col("se"), F.lit(0.0)))
+
+
+def model_summaries(models: DataFrame, by: list[str]) -> DataFrame:
+    """One line per model: size, residual deviation, likelihood and criteria."""
+    parameters = F.size("terms") + F.expr("size(random) * (size(random) + 1) div 2") + F.col("reml").cast("int")
+    return models.select(
+        *by, F.col("n").cast("bigint").alias("nobs"), "sigma", "loglik", "aic", "bic", (-2 * F.col("loglik")).alias("deviance"),
+        (F.col("n") - parameters).cast("bigint").alias("df_residual"), F.size("groups").alias("n_groups"), "singular", "converged",
+    )
+
+
+def model_effects(models: DataFrame, by: list[str], group: str = "birth") -> DataFrame:
+    """Group effects of any random part with conditional standard errors, long."""
+    g = models.select(*by, "random", F.inline("groups"))
+    rows = F.expr("transform(random, (t, i) -> struct(t AS term, get(effect, i) AS ranef, sqrt(greatest(get(var, i * size(random) + i), 0D)) AS se))")
+    return g.select(*by, F.col("level").alias(group), F.inline(rows))
+
+
+def model_fixed(models: DataFrame, by: list[str]) -> DataFrame:
+    """Fixed effects with standard errors, long."""
+    rows = F.expr("transform(terms, (t, i) -> struct(t AS term, get(beta, i) AS fixef, sqrt(get(vcov, i * size(terms) + i)) AS se))")
+    return models.select(*by, F.inline(rows))
+
+
 def fixed_effects(fits: DataFrame, by: list[str]) -> DataFrame:
     """Fixed effects with standard errors, long."""
     rows = F.array(

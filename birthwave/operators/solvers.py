@@ -40,69 +40,73 @@ def minimise(f, x0: np.ndarray, tol: float = 1e-8, limit: int = 100) -> tuple[np
     return x, value, False
 
 
-def factor(theta: np.ndarray, slope_only: bool) -> np.ndarray:
-    """Relative covariance factor: lower triangular, or the slope alone."""
-    if slope_only:
-        return np.array([[0.0, 0.0], [0.0, theta[0]]])
-    return np.array([[theta[0], 0.0], [theta[1], theta[2]]])
+def factor(theta: np.ndarray, k: int) -> np.ndarray:
+    """Relative covariance factor of ``k`` terms: lower triangular, its entries row by row."""
+    lam = np.zeros((k, k))
+    lam[np.tril_indices(k)] = theta
+    return lam
+
+
+def _start(k: int) -> np.ndarray:
+    return (0.3 * np.eye(k))[np.tril_indices(k)]
 
 
 def _log_det(m: np.ndarray) -> np.ndarray:
-    return np.log(m[:, 0, 0] * m[:, 1, 1] - m[:, 0, 1] * m[:, 1, 0])
+    return np.linalg.slogdet(m)[1]
 
 
-def _spread(lam: np.ndarray, scale: float, slope_only: bool) -> tuple[list, float, bool]:
-    """Standard deviations, correlation and singularity of the random part."""
-    d = scale**2 * lam @ lam.T
-    sd = np.sqrt(np.diag(d))
-    diag = [lam[1, 1]] if slope_only else [lam[0, 0], lam[1, 1]]
-    cor = np.nan if slope_only or sd.min() == 0 else float(d[0, 1] / (sd[0] * sd[1]))
-    return [float(v) for v in sd], cor, bool(np.min(np.abs(diag)) < 1e-4)
+def _result(
+    n: float, beta: np.ndarray, vcov: np.ndarray, lam: np.ndarray, scale: float, deviance: float, parameters: int, converged: bool,
+    re: np.ndarray, re_var: np.ndarray,
+) -> dict:
+    return dict(
+        n=float(n), beta=beta, vcov=vcov, cov=scale**2 * lam @ lam.T, singular=bool(np.abs(np.diag(lam)).min() < 1e-4),
+        sigma=float(scale), loglik=-deviance / 2, aic=deviance + 2 * parameters, bic=deviance + parameters * np.log(n),
+        converged=converged, re=re, re_var=re_var,
+    )
 
 
-def reml_fit(suff: pd.DataFrame, slope_only: bool) -> dict:
-    """Profiled REML of a linear growth model from sums per group."""
-    s = {c: suff[c].to_numpy(float) for c in ("n", "sw", "swx", "swxx", "swy", "swxy", "swyy", "slw")}
-    a = np.stack([np.stack([s["sw"], s["swx"]], -1), np.stack([s["swx"], s["swxx"]], -1)], -2)
-    c = np.stack([s["swy"], s["swxy"]], -1)
-    n, q, slw = s["n"].sum(), s["swyy"].sum(), s["slw"].sum()
+def reml(a: np.ndarray, c: np.ndarray, q: float, n: float, log_weights: float, random: list[int]) -> dict:
+    """Profiled REML of a linear mixed model from sums per group.
+
+    ``a`` (groups, p, p) and ``c`` (groups, p) are weighted cross products of the
+    terms with themselves and with the outcome, ``q`` is the outcome's own;
+    ``random`` lists the terms whose coefficients vary between groups.
+    """
+    p, k, pick = a.shape[1], len(random), np.asarray(random)
+    az, ax, cz = a[:, pick][:, :, pick], a[:, pick], c[:, pick]
 
     def profile(theta):
-        lam = factor(theta, slope_only)
-        m = lam.T @ a @ lam + np.eye(2)
-        la, lc = lam.T @ a, c @ lam
+        lam = factor(theta, k)
+        m = lam.T @ az @ lam + np.eye(k)
+        la, lc = lam.T @ ax, cz @ lam
         ma, mc = np.linalg.solve(m, la), np.linalg.solve(m, lc[..., None])[..., 0]
         xvx = a.sum(0) - np.einsum("gki,gkj->ij", la, ma)
         xvy = c.sum(0) - np.einsum("gki,gk->i", la, mc)
         beta = np.linalg.solve(xvx, xvy)
         rss = q - np.einsum("gk,gk->", lc, mc) - beta @ xvy
-        s2 = max(rss, 1e-12) / (n - 2)
-        deviance = _log_det(m).sum() + np.linalg.slogdet(xvx)[1] + (n - 2) * (1 + np.log(2 * np.pi * s2)) - slw
+        s2 = max(rss, 1e-12) / (n - p)
+        deviance = _log_det(m).sum() + _log_det(xvx) + (n - p) * (1 + np.log(2 * np.pi * s2)) - log_weights
         return deviance, beta, xvx, s2, lam, m
 
-    start = np.array([0.3]) if slope_only else np.array([0.3, 0.0, 0.3])
-    theta, deviance, converged = minimise(lambda t: profile(t)[0], start)
+    theta, deviance, converged = minimise(lambda t: profile(t)[0], _start(k))
     _, beta, xvx, s2, lam, m = profile(theta)
-    vcov = s2 * np.linalg.inv(xvx)
-    r = (c - a @ beta) @ lam
-    u = np.linalg.solve(m, r[..., None])[..., 0]
-    sd, cor, singular = _spread(lam, np.sqrt(s2), slope_only)
-    k = 2 + len(theta) + 1
-    return dict(
-        n=n, beta=[float(b) for b in beta], vcov=[float(vcov[0, 0]), float(vcov[0, 1]), float(vcov[1, 1])],
-        sd=sd, cor=cor, singular=singular, sigma=float(np.sqrt(s2)), loglik=-deviance / 2,
-        aic=deviance + 2 * k, bic=deviance + k * np.log(n), converged=converged,
-        re=u @ lam.T, re_var=s2 * (lam @ np.linalg.inv(m) @ lam.T),
+    u = np.linalg.solve(m, ((cz - ax @ beta) @ lam)[..., None])[..., 0]
+    return _result(
+        n, beta, s2 * np.linalg.inv(xvx), lam, np.sqrt(s2), deviance, p + len(theta) + 1, converged,
+        u @ lam.T, s2 * (lam @ np.linalg.inv(m) @ lam.T),
     )
 
 
-def laplace_fit(cells: pd.DataFrame, slope_only: bool) -> tuple[np.ndarray, dict]:
-    """Laplace maximum likelihood of a logistic growth model from weighted cells."""
-    births, g = np.unique(cells["birth"].to_numpy(), return_inverse=True)
-    x, sw, so = (cells[c].to_numpy(float) for c in ("age_s", "sw", "swo"))
-    z = np.stack([np.ones_like(x), x], -1)
-    count = len(births)
-    warm = np.zeros((count, 2))
+def laplace(x: np.ndarray, sw: np.ndarray, so: np.ndarray, n: float, g: np.ndarray, random: list[int]) -> dict:
+    """Laplace maximum likelihood of a logistic mixed model from weighted cells.
+
+    ``x`` has the terms of each cell, ``sw`` and ``so`` its trials and events, ``g``
+    the number of its group. The search counts as converged only if the group
+    effects settled in its last evaluation too.
+    """
+    z, p, k, count = x[:, random], x.shape[1], len(random), int(g.max()) + 1
+    warm, settled = np.zeros((count, k)), True
 
     def per_group(values):
         flat = values.reshape(len(values), -1)
@@ -110,18 +114,20 @@ def laplace_fit(cells: pd.DataFrame, slope_only: bool) -> tuple[np.ndarray, dict
         return np.stack(sums, -1).reshape(count, *values.shape[1:])
 
     def fitted(params, u0):
-        lam = factor(params[:-2], slope_only)
-        zl, offset, u = z @ lam, z @ params[-2:], u0.copy()
+        nonlocal settled
+        lam = factor(params[:-p], k)
+        zl, offset, u, settled = z @ lam, x @ params[-p:], u0.copy(), False
         for _ in range(50):
             eta = offset + np.einsum("ij,ij->i", zl, u[g])
             mean = 1 / (1 + np.exp(-eta))
             grad = per_group(zl * (so - sw * mean)[:, None]) - u
             v = sw * mean * (1 - mean)
-            m = per_group(zl[:, :, None] * zl[:, None, :] * v[:, None, None]) + np.eye(2)
+            m = per_group(zl[:, :, None] * zl[:, None, :] * v[:, None, None]) + np.eye(k)
             step = np.linalg.solve(m, grad[..., None])[..., 0]
             largest = np.abs(step).max()
             u += step / max(1.0, largest / 5)
             if largest < 1e-8:
+                settled = True
                 break
         loglik = so @ eta - sw @ np.logaddexp(0, eta)
         return -2 * loglik + (u * u).sum() + _log_det(m).sum(), u, m, lam
@@ -130,29 +136,59 @@ def laplace_fit(cells: pd.DataFrame, slope_only: bool) -> tuple[np.ndarray, dict
         nonlocal warm
         value, u, _, _ = fitted(params, warm)
         if not np.isfinite(value):
-            warm = np.zeros((count, 2))
+            warm = np.zeros((count, k))
             return 1e300
         warm = u
         return value
 
     share = min(max(so.sum() / sw.sum(), 1e-6), 1 - 1e-6)
-    start = [0.3] if slope_only else [0.3, 0.0, 0.3]
-    best, value, converged = minimise(deviance, np.array([*start, np.log(share / (1 - share)), 0.0]))
-    k = len(best)
+    begin = np.concatenate([_start(k), np.zeros(p)])
+    begin[-p] = np.log(share / (1 - share))
+    best, value, converged = minimise(deviance, begin)
     # Curvature of the deviance gives the covariance of all parameters.
-    h, hess, eye = 1e-3, np.zeros((k, k)), np.eye(k)
-    for i in range(k):
-        for j in range(i, k):
+    size = len(best)
+    h, hess, eye = 1e-3, np.zeros((size, size)), np.eye(size)
+    for i in range(size):
+        for j in range(i, size):
             corners = [(1, 1), (1, -1), (-1, 1), (-1, -1)]
             d = [a * b * deviance(best + h * (a * eye[i] + b * eye[j])) for a, b in corners]
             hess[i, j] = hess[j, i] = sum(d) / (4 * h * h)
-    vcov = (2 * np.linalg.pinv(hess))[-2:, -2:]
+    vcov = (2 * np.linalg.pinv(hess))[-p:, -p:]
+    vcov[np.diag_indices(p)] = np.maximum(np.diag(vcov), 0.0)
     _, u, m, lam = fitted(best, warm)
-    sd, cor, singular = _spread(lam, 1.0, slope_only)
-    n = float(cells["n"].sum())
-    return births, dict(
-        n=n, beta=[float(b) for b in best[-2:]],
-        vcov=[max(float(vcov[0, 0]), 0.0), float(vcov[0, 1]), max(float(vcov[1, 1]), 0.0)], sd=sd, cor=cor,
-        singular=singular, sigma=1.0, loglik=-value / 2, aic=value + 2 * k, bic=value + k * np.log(n),
-        converged=converged, re=u @ lam.T, re_var=lam @ np.linalg.inv(m) @ lam.T,
+    return _result(n, best[-p:], vcov, lam, 1.0, value, size, converged and settled, u @ lam.T, lam @ np.linalg.inv(m) @ lam.T)
+
+
+def _straight(fit: dict, slope_only: bool) -> dict:
+    """A fit with intercept and slope in the layout of the specification grid: both effects, zero where one is absent."""
+    random = [1] if slope_only else [0, 1]
+    groups = len(fit["re"])
+    re, var, cov = np.zeros((groups, 2)), np.zeros((groups, 2, 2)), np.zeros((2, 2))
+    re[:, random] = fit["re"]
+    var[np.ix_(range(groups), random, random)] = fit["re_var"]
+    cov[np.ix_(random, random)] = fit["cov"]
+    sd = np.sqrt(np.diag(cov))
+    cor = np.nan if slope_only or sd.min() == 0 else float(cov[0, 1] / (sd[0] * sd[1]))
+    vcov = fit["vcov"]
+    out = {k: v for k, v in fit.items() if k != "cov"}
+    return out | dict(
+        beta=[float(b) for b in fit["beta"]], vcov=[float(vcov[0, 0]), float(vcov[0, 1]), float(vcov[1, 1])],
+        sd=[float(v) for v in sd], cor=cor, re=re, re_var=var,
     )
+
+
+def reml_fit(suff: pd.DataFrame, slope_only: bool) -> dict:
+    """REML of a linear growth model with intercept and slope from named sums per group."""
+    s = {c: suff[c].to_numpy(float) for c in ("n", "sw", "swx", "swxx", "swy", "swxy", "swyy", "slw")}
+    a = np.stack([np.stack([s["sw"], s["swx"]], -1), np.stack([s["swx"], s["swxx"]], -1)], -2)
+    c = np.stack([s["swy"], s["swxy"]], -1)
+    return _straight(reml(a, c, s["swyy"].sum(), s["n"].sum(), s["slw"].sum(), [1] if slope_only else [0, 1]), slope_only)
+
+
+def laplace_fit(cells: pd.DataFrame, slope_only: bool) -> tuple[np.ndarray, dict]:
+    """Logistic growth model with intercept and slope from weighted cells."""
+    births, g = np.unique(cells["birth"].to_numpy(), return_inverse=True)
+    age, sw, so = (cells[c].to_numpy(float) for c in ("age_s", "sw", "swo"))
+    x = np.stack([np.ones_like(age), age], -1)
+    fit = laplace(x, sw, so, float(cells["n"].sum()), g, [1] if slope_only else [0, 1])
+    return births, _straight(fit, slope_only)

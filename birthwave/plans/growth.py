@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import mixed
+from ..operators.lms import with_spline
 from ..operators.staging import stage
-from ..operators.strata import in_window
+from ..operators.strata import follow_up, in_window
 from ..params import Params
 
 SAMPLE = ["sex", "cohort_y", "last_year"]
@@ -53,4 +54,32 @@ def specification_results(clean: DataFrame, specs: list[dict], params: Params =
     return {
         "fits": fits, "trajectories": curves,
         "random_effects": mixed.random_effect_intervals(effects, ["spec_id"]),
+        "terms": mixed.model_terms(mixed.as_models(fits, ["spec_id"]), ["spec_id"]),
+        "summaries": mixed.model_summaries(mixed.as_models(fits, ["spec_id"]), ["spec_id"]),
+    }
+
+
+SPLINE = "1 + age_ns1 + age_ns2"
+
+
+def spline_growth(clean: DataFrame, outcome: str = "bmi", random: str = SPLINE, params: Params = Params()) -> dict[str, DataFrame]:
+    """One growth model with a spline of age whose terms vary by birth year: summaries, effects and trajectories.
+
+    ``outcome`` is ``bmi`` (linear, unweighted) or ``obese`` (logistic).
+    """
+    rows = in_window(clean, "age", params.age_low, params.age_high).where(F.col("bmi").between(params.bmi_low, params.bmi_high))
+    rows = follow_up(rows, ["birth"], "age", params.age_low + params.follow_up, params.age_high - params.follow_up)
+    rows = rows.withColumns({"obese": (F.col("bmi") >= params.obese_from).cast("int"), "one": F.lit(1)})
+    rows, terms = with_spline(rows, "age", 2, ["one"], "age_ns")
+    rows = stage(rows.select("one", "birth", "age", "bmi", "obese", *terms), "growth-rows")
+    fit = mixed.fit_logistic if outcome == "obese" else mixed.fit_linear
+    models = stage(fit(rows, ["one"], "birth", outcome, None, SPLINE, random), "growth-model")
+    ranges = rows.groupBy("one", "birth").agg(F.min("age").alias("min_age"), F.max("age").alias("max_age"))
+    design = rows.select("one", "age", F.lit(1.0).alias(mixed.INTERCEPT), *terms).distinct()
+    design = design.unpivot(["one", "age"], [mixed.INTERCEPT, *terms], "term", "value")
+    effects = mixed.model_effects(models, ["one"])
+    curves = mixed.group_trajectories(mixed.model_fixed(models, ["one"]), effects, ranges, design, ["one"], outcome == "obese")
+    return {
+        "models": models, "terms": mixed.model_terms(models, ["one"]).drop("one"), "summaries": mixed.model_summaries(models, ["one"]).drop("one"),
+        "effects": effects.drop("one"), "trajectories": curves.drop("one"),
     }

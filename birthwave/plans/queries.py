@@ -454,6 +454,33 @@ def spec_random_effects(spark: SparkSession, sf: str) -> DataFrame:
     return growth.specification_results(clean_table(spark, sf), mixed.spec_grid(), P)["random_effects"]
 
 
+def spec_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Fixed effects, deviations and correlations of every specification, long."""
+    return growth.specification_results(clean_table(spark, sf), mixed.spec_grid(), P)["terms"]
+
+
+def spec_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    return growth.specification_results(clean_table(spark, sf), mixed.spec_grid(), P)["summaries"]
+
+
+def spline_growth_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Growth model whose intercept and both spline terms vary by birth year."""
+    return growth.spline_growth(clean_table(spark, sf), "bmi", params=P)["terms"]
+
+
+def spline_growth_effects(spark: SparkSession, sf: str) -> DataFrame:
+    return growth.spline_growth(clean_table(spark, sf), "bmi", params=P)["effects"]
+
+
+def spline_growth_trajectories(spark: SparkSession, sf: str) -> DataFrame:
+    return growth.spline_growth(clean_table(spark, sf), "bmi", params=P)["trajectories"]
+
+
+def spline_growth_obese(spark: SparkSession, sf: str) -> DataFrame:
+    """The logistic model of the indicator with a varying intercept and first spline term."""
+    return growth.spline_growth(clean_table(spark, sf), "obese", "1 + age_ns1", P)["terms"]
+
+
 def _given_effects(birth: str = "birth") -> tuple[Column, Column]:
     """Given group effects: a short pattern over birth years."""
     return (F.pmod(birth, F.lit(7)) - 3) * F.lit(0.1), (F.pmod(birth, F.lit(5)) - 2) * F.lit(0.1)
@@ -645,7 +672,8 @@ QUERIES = [
     parameter_interval, centile_log_link, uncoded_levels, lms_score_pass, lms_score_pass_cut, bootstrap_counts, bootstrap_mean_ci,
     poisson_mean_ci, replicate_interval, global_ranks, missing_by_year_ols, missing_two_factor_ols,
     missing_spline_ols, spec_sample_sizes, mixed_suffstats, binary_cells, lmm_fit, glmm_fit, spec_trajectories,
-    spec_random_effects, lmm_trajectories, random_effect_ci, observed_range, nested_counts, imputation_frame,
+    spec_random_effects, spec_terms, spec_summaries, spline_growth_terms, spline_growth_effects, spline_growth_trajectories,
+    spline_growth_obese, lmm_trajectories, random_effect_ci, observed_range, nested_counts, imputation_frame,
     posterior_draws, noisy_predictions, pooled_means, pmm_impute, delta_suffstats, pattern_mixture, pattern_figures,
     lms_fit, lms_fit_certificate, lms_fit_parameters, lms_fit_contrasts, lms_fit_centiles, lms_age_band_fit,
     lms_birth_band_fit, figure_feed, age_figure_feed, parameter_figure_feed, category_lines,
