@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -47,16 +47,22 @@ def natural_spline(x, knots, df_terms: int) -> list[Column]:
 def ortho_poly(df: DataFrame, x: str, by: list[str]) -> DataFrame:
     """Orthonormal linear and quadratic terms on the distinct values of x.
 
-    The windows run over distinct values, never over the rows themselves.
+    One aggregate row per group (size, mean and central moments of the distinct
+    values) gives the recurrence; it is joined back, so no task holds the values
+    of a group. A group needs two values for the linear term and three for the
+    quadratic one, and has null where a term is not defined.
     """
     rows = df.select(*by, F.col(x).cast("double").alias(x)).where(F.col(x).isNotNull()).distinct()
-    w = Window.partitionBy(*by)
-    rows = rows.withColumn("_d", F.col(x) - F.avg(x).over(w))
-    power = {k: F.sum(F.pow("_d", F.lit(float(k)))).over(w) for k in (2, 3, 4)}
-    rows = rows.withColumns(
-        {"_n": F.count(F.lit(1)).over(w), "_s2": power[2], "_s3": power[3], "_s4": power[4]}
-    )
-    a, b = F.col("_s3") / F.col("_s2"), F.col("_s2") / F.col("_n")
-    norm = F.col("_s4") - F.col("_s3") * a - F.col("_s2") * b
-    quadratic = (F.col("_d") * F.col("_d") - a * F.col("_d") - b) / F.sqrt(norm)
-    return rows.select(*by, x, (F.col("_d") / F.sqrt("_s2")).alias("p1"), quadratic.alias("p2"))
+    moments = [F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"), F.var_pop(x).alias("var"), F.skewness(x).alias("skew"), F.kurtosis(x).alias("kurt")]
+    if by:
+        # A struct, unlike its fields, is equal to itself where a key is null.
+        rows = rows.withColumn("_g", F.struct(*by))
+        rows = rows.join(rows.groupBy("_g").agg(F.struct(*moments).alias("_m")), "_g")
+    else:
+        rows = rows.withColumn("_m", rows.agg(F.struct(*moments)).scalar())
+    m = {c: F.col(f"_m.{c}") for c in ("n", "mean", "var", "skew", "kurt")}
+    d = F.col(x) - m["mean"]
+    s2 = F.when(m["n"] >= 2, m["n"] * m["var"])
+    a, b = m["skew"] * F.sqrt(m["var"]), m["var"]
+    norm = F.when(m["n"] >= 3, m["n"] * m["var"] * m["var"] * (m["kurt"] + 2 - m["skew"] * m["skew"]))
+    return rows.select(*by, x, (d / F.sqrt(s2)).alias("p1"), ((d * d - a * d - b) / F.sqrt(norm)).alias("p2"))

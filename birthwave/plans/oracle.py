@@ -389,6 +389,15 @@ SELECT cohort, stratum, year, round(ns1, 6) AS ns1, round(ns2, 6) AS ns2, round(
     "poly_basis": ADULT + """, dv AS (SELECT DISTINCT age::DOUBLE AS age FROM adult), d AS (SELECT age, age - avg(age) OVER () AS x FROM dv),
 r AS (SELECT age, x, x * x - sum(x * x * x) OVER () / sum(x * x) OVER () * x - avg(x * x) OVER () AS q FROM d)
 SELECT age, round(x / sqrt(sum(x * x) OVER ()), 6) AS p1, round(q / sqrt(sum(q * q) OVER ()), 6) AS p2 FROM r""",
+    "poly_basis_by_cohort": ADULT + f""", dv AS (SELECT DISTINCT {band('birth', 10)}::INT AS cohort, age::DOUBLE AS age FROM adult),
+d AS (SELECT cohort, age, age - avg(age) OVER w AS x, count(*) OVER w AS n FROM dv WINDOW w AS (PARTITION BY cohort)),
+r AS (SELECT cohort, age, x, n, CASE WHEN n > 2 THEN x * x - sum(x * x * x) OVER w / sum(x * x) OVER w * x - avg(x * x) OVER w END AS q FROM d WINDOW w AS (PARTITION BY cohort))
+SELECT cohort, age, CASE WHEN n > 1 THEN round(x / sqrt(sum(x * x) OVER w), 6) END AS p1, CASE WHEN n > 2 THEN round(q / sqrt(sum(q * q) OVER w), 6) END AS p2
+FROM r WINDOW w AS (PARTITION BY cohort)""",
+    "price_quantiles": "SELECT l_returnflag, l_linestatus, " + ", ".join(
+        f"round(quantile_cont(l_extendedprice, {p}), 6) AS {n}" for n, p in (("p1", 0.01), ("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("p99", 0.99))
+    ) + " FROM lineitem GROUP BY ALL",
+    "measure_quantiles": COHORT + "SELECT cohort, stratum, " + ", ".join(f"round(quantile_cont(bmi, {p / 100}), 6) AS c{p}" for p in (10, 25, 50, 75, 90)) + " FROM st GROUP BY ALL",
     "linear_predictor": GIVEN + "SELECT cohort, stratum, age, param, round(estimate, 6) AS estimate FROM pred",
     "params_wide": GIVEN + """SELECT cohort, stratum, age, round(max(estimate) FILTER (param = 'mu'), 6) AS mu,
   round(exp(max(estimate) FILTER (param = 'sigma')), 6) AS sigma, round(max(estimate) FILTER (param = 'nu'), 6) AS nu FROM pred GROUP BY ALL""",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import draws
 from ..functions.design import ortho_poly
 from ..functions.scalar import at_least, band, centile_label, inverse_logit, range_label, signed_label
-from ..operators import impute, intervals, lms, mixed, ols, profile, ranks, resample, reshape, strata, weights
+from ..operators import impute, intervals, lms, mixed, ols, profile, quantiles, ranks, resample, reshape, strata, weights
 from ..operators.harmonise import age_from_band, band_bounds
 from ..operators.staging import stage
 from ..params import EDUCATION_LABELS, Params
@@ -247,6 +247,12 @@ def spline_basis_year(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rows.select(*SEXES, "year", *terms).distinct(), *terms)
 
 
+def poly_basis_by_cohort(spark: SparkSession, sf: str) -> DataFrame:
+    """The same within birth decades; a decade seen at one or two ages lacks terms."""
+    rows = strata.in_window(clean_table(spark, sf), "age", P.age_low, P.age_high).withColumn("cohort", band("birth", 10))
+    return rounded(ortho_poly(rows, "age", ["cohort"]), "p1", "p2")
+
+
 def poly_basis(spark: SparkSession, sf: str) -> DataFrame:
     rows = strata.in_window(clean_table(spark, sf), "age", P.age_low, P.age_high)
     return rounded(ortho_poly(rows, "age", []), "p1", "p2")
@@ -387,6 +393,21 @@ def replicate_interval(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(intervals.point_and_interval(means, ["cohort"], "value"), "beta", "lci", "uci")
 
 
+def price_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact quantiles of all line prices by status, however large a status is."""
+    items = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_returnflag", "l_linestatus", "l_extendedprice")
+    out = quantiles.exact_quantiles(items, ["l_returnflag", "l_linestatus"], "l_extendedprice", [0.01, 0.25, 0.5, 0.75, 0.99])
+    names = ("p1", "q1", "median", "q3", "p99")
+    return out.select("l_returnflag", "l_linestatus", *[r6(F.col("quantiles")[i]).alias(n) for i, n in enumerate(names)])
+
+
+def measure_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Figure percentages of the measure by stratum, over persons."""
+    rows = strata.expand_strata(strata.cohort_sample(clean_table(spark, sf), P))
+    out = quantiles.exact_quantiles(rows, SEXES, "bmi", [p / 100 for p in feeds.FIGURE_CENTILES])
+    return out.select(*SEXES, *[r6(F.col("quantiles")[i]).alias(f"c{p}") for i, p in enumerate(feeds.FIGURE_CENTILES)])
+
+
 def global_ranks(spark: SparkSession, sf: str) -> DataFrame:
     rows = clean_table(spark, sf).where(F.col("bmi").isNotNull()).select("sex", "row_id", "bmi")
     return ranks.global_rank(rows, ["sex"], ["bmi", "row_id"]).select("sex", "row_id", "rank")
@@ -668,9 +689,9 @@ QUERIES = [
     uniform_draws, cohort_counts, followup_kept, stratum_sizes, normalised_weights, weights_null_policy,
     weighted_mean_by_stratum, obesity_prevalence, birth_age_bands, rescaled_age, right_join_age_grid,
     completeness_profile, observed_share, count_summary, weighted_variance, education_shares, scalar_functions,
-    spline_basis, spline_basis_year, poly_basis, linear_predictor, params_wide, lms_centiles, centile_contrast,
+    spline_basis, spline_basis_year, poly_basis, poly_basis_by_cohort, linear_predictor, params_wide, lms_centiles, centile_contrast,
     parameter_interval, centile_log_link, uncoded_levels, lms_score_pass, lms_score_pass_cut, bootstrap_counts, bootstrap_mean_ci,
-    poisson_mean_ci, replicate_interval, global_ranks, missing_by_year_ols, missing_two_factor_ols,
+    poisson_mean_ci, replicate_interval, price_quantiles, measure_quantiles, global_ranks, missing_by_year_ols, missing_two_factor_ols,
     missing_spline_ols, spec_sample_sizes, mixed_suffstats, binary_cells, lmm_fit, glmm_fit, spec_trajectories,
     spec_random_effects, spec_terms, spec_summaries, spline_growth_terms, spline_growth_effects, spline_growth_trajectories,
     spline_growth_obese, lmm_trajectories, random_effect_ci, observed_range, nested_counts, imputation_frame,
