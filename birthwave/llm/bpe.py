@@ -24,6 +24,7 @@ from array import array
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -89,17 +90,19 @@ WITH RECURSIVE state(w, pos, tok, round) AS (
 ) {LAST}
 """
 
-DECODE = """
-SELECT d, string_agg(v.hex, '' ORDER BY pos) AS hex
-FROM (SELECT d, unnest(ids) AS tok, generate_subscripts(ids, 1) AS pos FROM encoded) t JOIN vocab v USING (tok) GROUP BY d
+# Positions rise over all documents; the rows are aggregated in their order.
+ORDERED = """
+FROM (SELECT d, pos, v.hex FROM encoded JOIN vocab v USING (tok) ORDER BY pos) GROUP BY d
 """
+DECODE = f"SELECT d, string_agg(hex, '') {ORDERED}"
+DECODED_SHA256 = f"SELECT d, sha256(unhex(string_agg(hex, ''))) {ORDERED}"
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
 
 
-def sha256(data: bytes) -> str:
+def sha256(data: bytes | pa.Buffer) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
@@ -124,7 +127,7 @@ class Codec:
         self.pattern = piece_pattern(pattern)
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.whole = {t.decode(): np.int32(r).tobytes() for t, r in ranks.items() if valid(t)}
-        self.names = [str(i) for i in range(max(ranks.values()) + 1)]
+        self.names = pa.array([str(i) for i in range(max(ranks.values()) + 1)])
         self.pieces: dict[str, bytes] = {}
         self.forget()
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "150MB"})
@@ -216,17 +219,27 @@ class Codec:
         """Stretches that no piece crosses: white space with the word behind it."""
         return [text] if ODD_SPACE.search(text) else CHUNK.findall(text)
 
-    def listed(self, ids: pa.ListScalar) -> bytes:
-        """Decimal ids joined by one space."""
-        return " ".join([self.names[i] for i in ids.values.to_pylist()]).encode()
+    def listed_sha256(self, ids: pa.ListArray) -> list[str]:
+        """Digests of the decimal ids joined by one space."""
+        named = pa.ListArray.from_arrays(ids.offsets, self.names.take(ids.values))
+        return [sha256(x.as_buffer()) for x in pa.compute.binary_join(named, " ")]
+
+    def _decoded(self, ids: pa.ListArray, query: str) -> dict[int, str]:
+        offsets, tok = ids.offsets.to_numpy(), ids.values
+        d = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(offsets))
+        tok = tok.slice(offsets[0], len(d))
+        self.con.register("encoded", pa.table({"d": d, "pos": np.arange(len(d), dtype=np.int32), "tok": tok}))
+        found = dict(self.con.execute(query).fetchall())
+        self.con.unregister("encoded")
+        return found
 
     def decode(self, ids: pa.ListArray) -> list[bytes]:
-        self.con.register("encoded", pa.table({"d": pa.array(range(len(ids)), pa.int32()), "ids": ids}))
-        out = [b""] * len(ids)
-        for d, text in self.con.execute(DECODE).fetchall():
-            out[d] = bytes.fromhex(text)
-        self.con.unregister("encoded")
-        return out
+        found = self._decoded(ids, DECODE)
+        return [bytes.fromhex(found.get(i, "")) for i in range(len(ids))]
+
+    def decoded_sha256(self, ids: pa.ListArray) -> list[str]:
+        found, none = self._decoded(ids, DECODED_SHA256), sha256(b"")
+        return [found.get(i, none) for i in range(len(ids))]
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -294,8 +307,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", kee
         for batch in sub_batches(batches, "_text", STEP_BYTES):
             ids = own.encode(batch.column("_text").to_pylist())
             lists = {"ids": ids, "n_tokens": ids.value_lengths().cast(pa.int64())}
-            lists["ids_sha256"] = pa.array([sha256(own.listed(x)) for x in ids])
-            lists["decoded_sha256"] = pa.array([sha256(x) for x in own.decode(ids)])
+            lists["ids_sha256"] = pa.array(own.listed_sha256(ids))
+            lists["decoded_sha256"] = pa.array(own.decoded_sha256(ids))
             yield pa.RecordBatch.from_arrays([batch.column("_row"), *(lists[k] for k in made)], names=["_row", *made])
 
     row = df.schema["_row"].dataType.simpleString()
