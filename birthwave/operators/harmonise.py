@@ -14,6 +14,7 @@ from ..params import (
     BAND_CODES, BANDED_WAVES, EDUCATION_LABELS, ETHNICITY_RULES, NO_EDUCATION_WAVES,
     SAMPLE_RULES, TOP_CODE, TOP_CODED_WAVE, Params,
 )
+from .staging import join_summary
 
 CLEAN_COLUMNS = ["row_id", "year", "sex", "age", "bmi", "edu", "wt_int", "birth"]
 
@@ -43,31 +44,45 @@ def core_sample_kept(wave: Column, samptype: Column) -> Column:
     return kept
 
 
-def band_bounds(code: Column, labels: dict[int, str]) -> tuple[Column, Column]:
-    """Lowest and highest age of a band code; null where the label is no closed range."""
+def label_bounds(label: Column) -> tuple[Column, Column]:
+    """Lowest and highest age of a label such as ``20-24``; null where it is no closed range."""
+    ends = F.split(label, "-")
+    return F.get(ends, F.lit(0)).try_cast("int"), F.get(ends, F.lit(1)).try_cast("int")
+
+
+def band_label(code: Column, labels: dict[int, str]) -> Column:
     low, high = BAND_CODES
     usable = {k: v for k, v in labels.items() if low <= k <= high}
-    lookup = F.create_map(*[F.lit(v) for pair in usable.items() for v in pair])
-    ends = F.split(lookup[code], "-")
-    return F.get(ends, F.lit(0)).try_cast("int"), F.get(ends, F.lit(1)).try_cast("int")
+    return F.create_map(*[F.lit(v) for pair in usable.items() for v in pair])[code]
 
 
-def age_from_band(code: Column, labels: dict[int, str], row_id: str, seed: int) -> Column:
-    """Uniform integer age inside the band, fixed by seed and row."""
-    low, high = band_bounds(code, labels)
+def band_bounds(code: Column, labels: dict[int, str]) -> tuple[Column, Column]:
+    """Lowest and highest age of a band code; null where the label is no closed range."""
+    return label_bounds(band_label(code, labels))
+
+
+def age_in_bounds(low: Column, high: Column, row_id: str, seed: int) -> Column:
+    """Uniform integer age between the bounds, fixed by seed and row."""
     u = draws.uniform("band_age", F.lit(seed), row_id)
     return (low + F.floor(u * (high - low + 1))).cast("int")
 
 
+def age_from_band(code: Column, labels: dict[int, str], row_id: str, seed: int) -> Column:
+    """Uniform integer age inside the band, fixed by seed and row."""
+    return age_in_bounds(*band_bounds(code, labels), row_id, seed)
+
+
 def education(wave: Column, code: Column) -> Column:
     labels = F.array(*[F.lit(v) for v in EDUCATION_LABELS])
     label = F.when(code.between(1, len(EDUCATION_LABELS)), F.get(labels, code.cast("int") - 1))
     return F.when(~wave.between(*NO_EDUCATION_WAVES), label)
 
 
-def harmonise(df: DataFrame, band_labels: dict[int, str], params: Params = Params()) -> DataFrame:
+def harmonise(df: DataFrame, band_labels: dict[int, str] | DataFrame, params: Params = Params()) -> DataFrame:
     """Clean person table of raw rows that carry their wave number, or its folder in ``fld``.
 
+    ``band_labels`` are the labels of the age bands: by code, or as a table
+    (``fld, code, label``) of what each wave's own files say.
     ``has_wt_int`` tells whether the wave has a weight column at all: the
     default weight one stands for an absent column, never for a null weight.
     """
@@ -78,11 +93,19 @@ def harmonise(df: DataFrame, band_labels: dict[int, str], params: Params = Param
 
     wave = F.col("wave")
     rows = df if "wave" in has else df.withColumn("wave", wave_number(F.col("fld")))
+    code = col("age35g", "int")
+    if isinstance(band_labels, DataFrame):
+        low, high = BAND_CODES
+        lookup = band_labels.where(F.col("code").between(low, high)).select("fld", F.col("code").alias("_code"), F.col("label").alias("_band")).distinct()
+        rows = join_summary(rows.withColumn("_code", code), lookup, ["fld", "_code"])
+        label = F.col("_band")
+    else:
+        label = band_label(code, band_labels)
     rows = rows.where(ethnicity_kept(wave, has)).where(core_sample_kept(wave, col("samptype", "int")))
     age90 = col("age90", "int")
     age = (
         F.when(wave == TOP_CODED_WAVE, F.when(age90 != TOP_CODE, age90))
-        .when(wave.between(*BANDED_WAVES), age_from_band(col("age35g", "int"), band_labels, "row_id", params.seed))
+        .when(wave.between(*BANDED_WAVES), age_in_bounds(*label_bounds(label), "row_id", params.seed))
         .otherwise(col("age", "int"))
     )
     weight = F.when(F.col("has_wt_int"), col("wt_int", "double")).otherwise(F.lit(1.0))

@@ -332,6 +332,11 @@ ORACLE = {
     "harmonised_rows": CLEAN + _clean_rows(),
     "harmonised_by_year": CLEAN + """SELECT year, count(*) AS n, count(bmi) AS n_bmi, count(age) AS n_age, count(edu) AS n_edu,
   round(sum(bmi), 6) AS sum_bmi, round(sum(wt_int), 6) AS sum_wt FROM clean GROUP BY year""",
+    "wave_files_by_year": CLEAN + """SELECT year, count(*) AS n, count(bmi) AS n_bmi, count(age) AS n_age, count(edu) AS n_edu,
+  count(*) AS n_ids, round(sum(bmi), 6) AS sum_bmi, round(sum(wt_int), 6) AS sum_wt FROM clean WHERE year >= 2000 GROUP BY year""",
+    "dictionary": """SELECT table_name, column_name AS name, '' AS label FROM information_schema.columns WHERE table_name IN (
+  'region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark',
+  'labels', 'conversations')""",
     "wave_union": f"""WITH {RAW} SELECT wave, count(*) AS n, count(CASE WHEN wave <= 2013 THEN age1 END) AS n_age,
   count(CASE WHEN wave = 2014 THEN age90 END) AS n_age90, count(CASE WHEN wave >= 2015 THEN code END) AS n_age35g,
   count(CASE WHEN wave <= 1997 THEN eth END) AS n_ethnic, count(CASE WHEN wave BETWEEN 2003 AND 2013 THEN samptype END) AS n_samptype,

@@ -16,7 +16,7 @@ from ..sources.catalog import file_catalog, rank_files, variable_dictionary
 from ..sources.survey_view import AGE_BAND_LABELS, raw_survey
 from ..sources.waves import scan_columns, union_waves
 from . import centiles, feeds, growth
-from .survey import clean_survey, clean_table
+from .survey import clean_survey, clean_table, clean_through_files
 
 P = Params()
 SEXES = ["cohort", "stratum"]
@@ -60,6 +60,15 @@ def wave_union(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def wave_files_by_year(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw wave files to the clean table on disk, read back for the years from 2000 on."""
+    clean = clean_through_files(spark, sf, P).where(F.col("year") >= 2000)
+    return clean.groupBy("year").agg(
+        F.count(F.lit(1)).alias("n"), F.count("bmi").alias("n_bmi"), F.count("age").alias("n_age"), F.count("edu").alias("n_edu"),
+        F.count_distinct("row_id").alias("n_ids"), r6(F.sum("bmi")).alias("sum_bmi"), r6(F.sum("wt_int")).alias("sum_wt"),
+    )
+
+
 def pruned_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Listed columns and a pattern family of the order table, lower-cased."""
     df = scan_columns(spark.read.parquet(f"{sf}/orders.parquet"), ["O_OrderKey", "missing"], "(PRICE|status)")
@@ -76,9 +85,8 @@ def catalogue(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dictionary(spark: SparkSession, sf: str) -> DataFrame:
-    return variable_dictionary(spark, [f"{sf}/{t}.parquet" for t in TABLES]).select(
-        F.regexp_extract("path", r"([a-z]+)\.parquet$", 1).alias("table_name"), "name", "label"
-    )
+    found = variable_dictionary(spark, [f"{sf}/{t}.parquet" for t in TABLES])
+    return found.select(F.regexp_extract("path", r"/([a-z]+)\.parquet", 1).alias("table_name"), "name", "label").distinct()
 
 
 def file_ranks(spark: SparkSession, sf: str) -> DataFrame:
@@ -685,7 +693,7 @@ def category_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = [
-    harmonised_rows, harmonised_by_year, wave_union, pruned_scan, catalogue, dictionary, file_ranks, band_age_draw,
+    harmonised_rows, harmonised_by_year, wave_files_by_year, wave_union, pruned_scan, catalogue, dictionary, file_ranks, band_age_draw,
     uniform_draws, cohort_counts, followup_kept, stratum_sizes, normalised_weights, weights_null_policy,
     weighted_mean_by_stratum, obesity_prevalence, birth_age_bands, rescaled_age, right_join_age_grid,
     completeness_profile, observed_share, count_summary, weighted_variance, education_shares, scalar_functions,

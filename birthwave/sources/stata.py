@@ -48,6 +48,22 @@ def stata_dictionary(spark: SparkSession, paths: str) -> DataFrame:
     return files.mapInPandas(labels, "path string, name string, label string")
 
 
+def stata_value_labels(spark: SparkSession, paths: str) -> DataFrame:
+    """Value labels as a lookup: ``path, name, code, label`` for every labelled variable of every file."""
+
+    def labels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for files in batches:
+            for path, content in zip(files["path"], files["content"]):
+                with pd.read_stata(io.BytesIO(content), iterator=True, convert_categoricals=False) as reader:
+                    reader.read(1)
+                    sets, names = reader.value_labels(), reader.variable_labels()
+                rows = [(path, name.lower(), int(code), str(text)) for name in names for code, text in sets.get(name, {}).items()]
+                yield pd.DataFrame(rows, columns=["path", "name", "code", "label"])
+
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    return files.mapInPandas(labels, "path string, name string, code int, label string")
+
+
 def ingest_stata(spark: SparkSession, paths: str, out: str, schema: StructType) -> DataFrame:
     """Convert Stata files to Parquet and return the converted table."""
     read_stata(spark, paths, schema).write.parquet(out)

@@ -7,9 +7,9 @@ from pyspark.sql import types as T
 
 from birthwave.operators.harmonise import harmonise
 from birthwave.operators.staging import join_summary, stage
-from birthwave.plans.survey import clean_table
+from birthwave.plans.survey import clean_files, clean_table, write_waves
 from birthwave.sources import catalog, sinks, stata, waves
-from birthwave.sources.survey_view import AGE_BAND_LABELS
+from birthwave.sources.survey_view import AGE_BAND_LABELS, raw_survey
 
 # Small drifting waves: names differ in case, types differ, columns come and go.
 WAVES = {
@@ -53,6 +53,43 @@ def test_scan_reads_only_the_survey_columns(spark, root):
     assert {f.split(":")[0] for f in read.split(",")} <= {"BMI", "_tmp_metadata_row_index"}
 
 
+def test_a_folder_of_waves_is_numbered_from_its_listing(spark, root):
+    listed = waves.listing(spark, root).withColumn("fld", F.regexp_extract("path", r"/([^/]+)/eul\.parquet/", 1))
+    raw = waves.scan_folder(spark, listed)
+    one_by_one = waves.union_waves([waves.scan_wave(spark, f"{root}/{f}/eul.parquet", f) for f in WAVES])
+    assert sorted(map(tuple, raw.select("row_id", "fld", "bmi").collect())) == sorted(map(tuple, one_by_one.select("row_id", "fld", "bmi").collect()))
+    assert raw.select("row_id").distinct().count() == 11
+    with pytest.raises(ValueError):
+        waves.scan_folder(spark, listed.limit(0))
+
+
+def test_raw_files_to_a_pruned_clean_table(spark, sf_dir, tmp_path):
+    raw = raw_survey(spark, sf_dir)
+    write_waves(raw, f"{tmp_path}/raw")
+    clean = clean_files(spark, f"{tmp_path}/raw", f"{tmp_path}/clean")
+    late = clean.where("year = 2010")
+    assert "PartitionFilters: [isnotnull(year" in late._jdf.queryExecution().executedPlan().toString()
+    want = harmonise(raw, AGE_BAND_LABELS)
+    facts = lambda df: sorted(map(tuple, df.groupBy("year", "sex", "edu").agg(F.count("*"), F.count("age"), F.round(F.sum("bmi"), 6), F.sum("wt_int")).collect()), key=repr)
+    assert facts(clean) == facts(want)
+    assert clean.select("row_id").distinct().count() == clean.count()
+
+
+def test_value_labels_are_a_lookup(spark, tmp_path):
+    (tmp_path / "2016").mkdir()
+    people = pd.DataFrame({"sex": [1, 2, 1, 2], "age35g": [1, 2, 3, 9], "bmi": [20.0, 21.0, 22.0, 23.0], "bmiok": [1] * 4, "origin2": [1] * 4})
+    people.to_stata(tmp_path / "2016" / "eul.dta", write_index=False, value_labels={"age35g": {1: "30-30", 2: "41-41", 3: "90+"}})
+    labels = stata.stata_value_labels(spark, f"{tmp_path}/2016/*.dta")
+    assert {(r["name"], r["code"], r["label"]) for r in labels.collect()} == {("age35g", 1, "30-30"), ("age35g", 2, "41-41"), ("age35g", 3, "90+")}
+    schema = T.StructType.fromDDL("path string, sex int, age35g int, bmi double, bmiok int, origin2 int")
+    raw = stata.read_stata(spark, f"{tmp_path}/2016/*.dta", schema).withColumns(
+        {"fld": F.lit("2016"), "row_id": F.monotonically_increasing_id(), "has_wt_int": F.lit(False)}
+    )
+    own = labels.where("name = 'age35g'").withColumn("fld", F.lit("2016"))
+    got = harmonise(raw.drop("path"), own).orderBy("bmi").select("age").collect()
+    assert [r[0] for r in got] == [30, 41, None, None]
+
+
 def test_catalogue_rules(spark, tmp_path):
     for name in ("1993/any.parquet", "1999/wave99ai.parquet", "1999/other.parquet", "2010/x_eul_v1.parquet", "docs/eul.parquet"):
         path = tmp_path / name
@@ -68,7 +105,7 @@ def test_catalogue_rules(spark, tmp_path):
 def test_dictionary_keeps_labels_through_parquet(spark, tmp_path):
     schema = T.StructType([T.StructField("bmi", T.DoubleType(), True, {"label": "Body mass"}), T.StructField("x", T.IntegerType())])
     spark.createDataFrame([(1.0, 1)], schema).write.parquet(f"{tmp_path}/a")
-    got = catalog.variable_dictionary(spark, [f"{tmp_path}/a"]).collect()
+    got = catalog.variable_dictionary(spark, [f"{tmp_path}/a"]).select("name", "label").distinct().orderBy("name").collect()
     assert [(r["name"], r["label"]) for r in got] == [("bmi", "Body mass"), ("x", "")]
 
 
