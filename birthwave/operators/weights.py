@@ -40,7 +40,8 @@ def weighted_variance(df: DataFrame, x: str, w: str, by: list[str] = ()) -> Data
     """Frequency-weighted variance and standard deviation of complete (x, w) pairs.
 
     Moments are taken about each group's plain mean, so a mean that is large
-    against the spread does not cancel them.
+    against the spread does not cancel them. Weights that sum to one or less
+    have no variance.
     """
     rows = df.where(F.col(x).isNotNull() & F.col(w).isNotNull())
     centres = rows.groupBy(*by).agg(F.avg(x).alias("_centre"))
@@ -51,5 +52,5 @@ def weighted_variance(df: DataFrame, x: str, w: str, by: list[str] = ()) -> Data
     d = F.col(x) - F.col("_centre")
     n, s1, s2 = F.nullif(F.sum(w), F.lit(0)), F.sum(F.col(w) * d), F.sum(F.col(w) * d * d)
     out = rows.groupBy(*by).agg(F.sum(w).alias("sum_w"), (F.first("_centre") + s1 / n).alias("mean"), (s2 - s1 * s1 / n).alias("_ss"))
-    variance = F.greatest(F.col("_ss"), F.lit(0.0)) / F.nullif(F.col("sum_w") - 1, F.lit(0.0))
+    variance = F.when(F.col("sum_w") > 1, F.greatest(F.col("_ss"), F.lit(0.0)) / (F.col("sum_w") - 1))
     return out.select(*by, "sum_w", "mean", variance.alias("variance"), F.sqrt(variance).alias("sd"))
