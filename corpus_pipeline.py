@@ -16,8 +16,8 @@ from birthwave.llm import bpe, mixing, quality, simhash, substring
 from birthwave.llm.common import documents, stage_root
 
 ORACLE_SQL = None
-# Texts whose five-word shingles are similar to 0.8 are near-duplicates; the bits only search for candidates.
-SHINGLE, ERRORS, SIMILARITY = 5, 5, 0.8
+# Near-duplicates differ in at most so many bits of the fingerprint of their word shingles.
+SHINGLE, ERRORS = 4, 4
 
 
 def quality_stage(spark, docs, sf_dir):
@@ -27,7 +27,7 @@ def quality_stage(spark, docs, sf_dir):
 
 def simhash_stage(spark, docs, sf_dir):
     """One document of each group of near-duplicates."""
-    return simhash.keep_similar(docs, similarity=SIMILARITY, errors=ERRORS, shingle=SHINGLE)
+    return simhash.keep_first(docs, errors=ERRORS, shingle=SHINGLE)
 
 
 def substring_stage(spark, docs, sf_dir):
