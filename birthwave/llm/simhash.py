@@ -13,15 +13,6 @@ Defined results: null or empty texts have fingerprint zero and are linked like
 any other; each input row gives one output row; a null id takes part, but the
 component's id is its least id that is not null; an input column named like an
 output is replaced; no rows give no rows.
-
-``keep_similar`` links texts whose sets of shingles have a Jaccard similarity of
-at least ``SIMILARITY``. Such pairs may differ in more bits than a trie walk can
-afford, so a second fingerprint finds them as well: least values of the digests
-under ``BANDS * ROWS`` hash functions, in bands that two texts share as a whole.
-A pair at the threshold shares a band with probability 0.99994. No candidate is
-linked before its similarity is computed from both texts. Each text first meets
-the least one of each of its bands; then the pairs of a band that are not in one
-component by then meet each other, so a dense group needs no list of its pairs.
 """
 
 from __future__ import annotations
@@ -34,7 +25,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import mix
 from .common import carry, outputs, stage, sub_batches
 from .components import components
 
@@ -42,7 +32,6 @@ SHINGLE, SEED, ERRORS = 4, 42, 4
 SUBTREE = 65_536  # fingerprints of a subtree, on average
 PAIRS = 1 << 16  # node pairs walked together
 SMALL = 32  # pairs of fingerprints below two nodes that are compared without going on
-SIMILARITY, BANDS, ROWS = 0.8, 32, 6
 UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -74,20 +63,6 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return majority(digests(text, shingle))
 
 
-_DRAWN = np.random.default_rng(11).integers(0, 2**64, (3, BANDS * ROWS), np.uint64)
-_TIMES, _PLUS, _ROW = _DRAWN[0] | np.uint64(1), _DRAWN[1], (_DRAWN[2] | np.uint64(1)).reshape(BANDS, ROWS)
-
-
-def bands(values: np.ndarray) -> np.ndarray:
-    """One number per band from the least values of distinct digests; none without digests."""
-    if not len(values):
-        return np.zeros(0, np.int64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(values), 512):
-        least = np.minimum(least, (values[at : at + 512, None] * _TIMES + _PLUS).min(axis=0))
-    return mix((mix(least).reshape(BANDS, ROWS) * _ROW).sum(axis=1, dtype=np.uint64)).view(np.int64)
-
-
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """Input columns but the text, with ``fp`` (the fingerprint as a signed 64-bit integer)."""
     kept = [c for c in docs.columns if c != text]
@@ -241,99 +216,3 @@ def keep_first(
     best = marked.groupBy("_fp").agg(F.min(first).alias("first")).join(grouped(marked, errors, subtree), F.col("_fp") == F.col("_class"))
     kept = best.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first._n").alias("_n"))
     return marked.join(kept, "_n", "left_semi").select("_doc.*")
-
-
-def sketches(docs: DataFrame, text: str, shingle: int) -> DataFrame:
-    """Input columns but the text, with ``_fp``, ``_class`` (digest of the set of shingles) and ``_bands``."""
-    kept = [c for c in docs.columns if c != text]
-    df = docs.select(F.struct(*(docs[c] for c in kept)).alias("_row"), F.coalesce(docs[text], F.lit("")).alias("_text"))
-
-    def run(batches):
-        for batch in sub_batches(batches, "_text"):
-            made = []
-            for t in batch.column("_text").to_pylist():
-                raw = digests(t, shingle)
-                values = np.unique(np.frombuffer(raw, np.uint64))
-                made.append((majority(raw), xxhash.xxh64_intdigest(values.tobytes(), SEED), bands(values)))
-            fp, own = (pa.array(np.array([m[k] for m in made], np.uint64).view(np.int64)) for k in (0, 1))
-            shared = pa.array([m[2] for m in made], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), fp, own, shared], names=["_row", "_fp", "_class", "_bands"])
-
-    row = df.schema["_row"].dataType.simpleString()
-    made = {c: F.col(c) for c in ("_fp", "_class", "_bands")}
-    return df.mapInArrow(run, f"_row {row}, _fp long, _class long, _bands array<long>").select(*outputs(kept, made))
-
-
-def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The pairs ``a, b`` of classes whose texts (``_class, text``) have at least the Jaccard similarity."""
-    one = texts.select(F.col("_class").alias("a"), F.col("text").alias("_text"))
-    two = texts.select(F.col("_class").alias("b"), F.col("text").alias("_other"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "_text", "_other")
-
-    def values(text: str) -> np.ndarray:
-        return np.unique(np.frombuffer(digests(text, shingle), np.uint64))
-
-    def run(batches):
-        known: dict[int, np.ndarray] = {}
-        for batch in sub_batches(batches, "_text"):
-            near = []
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "_text", "_other"))):
-                # The other text is often that of the row before.
-                if b not in known:
-                    known = {b: values(y)}
-                left, right = values(x), known[b]
-                if min(len(left), len(right)) >= similarity * max(len(left), len(right)) - 1e-6:
-                    same = len(np.intersect1d(left, right, assume_unique=True))
-                    if same / max(1, len(left) + len(right) - same) >= similarity:
-                        near.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in near], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    return both.mapInArrow(run, "a long, b long")
-
-
-def ordered_pairs(pairs: DataFrame) -> DataFrame:
-    """Each unordered pair once, the smaller one as ``b``."""
-    return pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-
-def keep_similar(
-    docs: DataFrame, similarity: float = SIMILARITY, errors: int = ERRORS, shingle: int = SHINGLE, subtree: int = SUBTREE,
-    text: str = "text", doc_id: str = "doc_id",
-) -> DataFrame:
-    """One row of each group of similar texts, that of the least id (null last; of repeated ids any one), with the input columns."""
-    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_doc"), docs[doc_id].alias("_id"), docs[text].alias("_text"))
-    # Written with a number per row, so that later reads agree on it.
-    marked = stage(sketches(packed, "_text", shingle).withColumn("_n", F.monotonically_increasing_id()), "similar-rows")
-    first = F.struct(F.col("_id").isNull(), "_id", "_n")
-    classes = marked.groupBy("_class").agg(F.min(first).alias("first"), F.first("_fp").alias("_fp"), F.first("_bands").alias("_bands"))
-    classes = stage(classes, "similar-classes")
-    keyed = classes.select("_class", F.explode("_bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("_class").alias("least"), F.max("_class").alias("_most")).filter("least < _most")
-    members = stage(keyed.join(shared.select("key", "least"), "key"), "similar-bands")
-    # Candidates: the least text of each band, and what the trie walk links.
-    prints = classes.groupBy("_fp").agg(F.min("_class").alias("least"))
-    walked = prefix_links(prints.select(F.col("_fp").alias("fp")), errors, subtree)
-    walked = walked.join(prints.select(F.col("_fp").alias("a"), F.col("least").alias("_a")), "a").join(prints.select(F.col("_fp").alias("b"), F.col("least").alias("_b")), "b")
-    pairs = members.select(F.col("_class").alias("a"), F.col("least").alias("b"))
-    pairs = pairs.unionByName(walked.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
-    pairs = pairs.unionByName(classes.join(prints, "_fp").select(F.col("_class").alias("a"), F.col("least").alias("b")))
-    pairs = stage(ordered_pairs(pairs), "similar-pairs")
-    wanted = pairs.select(F.col("a").alias("_class")).unionByName(pairs.select(F.col("b").alias("_class"))).distinct()
-    wanted = classes.join(wanted, "_class", "left_semi").select("_class", F.col("first._n").alias("_n"))
-    texts = stage(marked.select("_n", F.col("_doc").getField(text).alias("text")).join(wanted, "_n").select("_class", F.coalesce("text", F.lit("")).alias("text")), "similar-texts")
-    links = stage(similar_pairs(pairs, texts, similarity, shingle), "similar-links")
-    linked = components(links)
-    # Pairs of a band that are in different components so far.
-    placed = members.join(linked, F.col("_class") == F.col("node"), "left").select("key", "_class", F.coalesce("component", "_class").alias("component"))
-    placed = stage(placed, "similar-placed")
-    split = placed.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low < _high").select("key")
-    apart = stage(placed.join(split, "key", "left_semi"), "similar-apart")
-    other = apart.select("key", F.col("_class").alias("b"), F.col("component").alias("_other"))
-    rest = apart.select("key", F.col("_class").alias("a"), "component").join(other, "key").filter("a > b AND component <> _other")
-    rest = stage(rest.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "similar-pairs")
-    more = stage(similar_pairs(rest, texts, similarity, shingle), "similar-links")
-    if not more.isEmpty():
-        linked = components(links.unionByName(more))
-    best = classes.join(linked, F.col("_class") == F.col("node"), "left").groupBy(F.coalesce("component", "_class").alias("component"))
-    kept = best.agg(F.min("first").alias("first")).select(F.col("first._n").alias("_n"))
-    return marked.join(kept, "_n", "left_semi").select("_doc.*")

@@ -221,35 +221,6 @@ def test_trie_walk():
     assert got == {(i, j) for i, j in zip(a.tolist(), b.tolist()) if i < j}
 
 
-def test_similar_texts_beyond_the_bits(spark):
-    rng = random.Random(8)
-    words = [f"w{k}" for k in range(400)]
-    texts = [[rng.choice(words) for _ in range(rng.choice((5, 30, 90, 200)))] for _ in range(60)]
-    for base in texts[:60]:
-        for changes in (1, 2, 3, 5):  # a chain of copies, each with a few words more changed
-            base = list(base)
-            for _ in range(changes):
-                base[rng.randrange(len(base))] = rng.choice(words)
-            texts.append(base)
-    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(900, None), (901, ""), (902, "two words"), (903, "Two  words")]
-    shingles = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for _, t in rows)]
-    up = list(range(len(rows)))
-
-    def root(i):
-        while up[i] != i:
-            i = up[i]
-        return i
-
-    for i, a in enumerate(shingles):
-        for j, b in enumerate(shingles[:i]):
-            if a == b or len(a & b) >= 0.8 * len(a | b):
-                up[max(root(i), root(j))] = min(root(i), root(j))
-    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    kept = sorted(r.doc_id for r in simhash.keep_similar(frame, shingle=5, errors=5).collect())
-    assert kept == sorted(rows[i][0] for i in range(len(rows)) if root(i) == i)
-    assert len(kept) < simhash.keep_first(frame, shingle=5, errors=5).count()
-
-
 def test_mix(docs, given):
     rows = mixing.mix(docs).collect()
     size, source = {}, {}
