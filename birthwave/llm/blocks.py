@@ -5,7 +5,8 @@ of the document; texts move once, to the task of their block, and every later
 step of the same plan reads that exchange again. A step sends digests from
 blocks to buckets (ranges of the digest), at most one per block and digest, so
 even a passage that is in every document stays small; the bucket answers to the
-blocks. Both sizes follow the amount of text, so no group grows with the input.
+blocks. Both sizes follow the amount of text. What does grow with the input is
+the answer to a digest that stands in every block: one small entry per block.
 """
 
 from __future__ import annotations
@@ -90,6 +91,8 @@ def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def packed(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> pa.Array:
     """Slices of an array as binary values; the slices follow each other."""
     offsets = np.concatenate([starts, stops[-1:]]) * values.itemsize
+    if len(offsets) and offsets[-1] > np.iinfo(np.int32).max:
+        raise ValueError(f"{offsets[-1]} bytes in one row of a bucket or block, more than a binary value holds: take more buckets or smaller blocks")
     raw = np.ascontiguousarray(values).tobytes()
     return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(raw)])
 

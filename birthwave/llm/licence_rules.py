@@ -38,7 +38,8 @@ HAND = (
     ("isc", "purpose", TEXT, r"permission to use copy modify and or distribute this software for any purpose"),
     ("bsd", "bsd", HINT, r"bsd (style )?licen[sc]ed?"),
     ("bsd-1-clause", "bsd", NAME, r"(1|one) clause bsd|bsd (1|one) clause"),
-    ("bsd-2-clause", "bsd", NAME, r"(2|two) clause bsd|bsd (2|two) clause|simplified bsd|freebsd licen[sc]e"),
+    ("bsd-2-clause", "bsd", NAME, r"(2|two) clause bsd|bsd (2|two) clause|simplified bsd"),
+    ("bsd-2-clause", "freebsd", NAME, r"freebsd licen[sc]e"),
     ("bsd-3-clause", "bsd", NAME, r"(3|three) clause bsd|bsd (3|three) clause|(new|revised|modified) bsd"),
     ("bsd-4-clause", "bsd", NAME, r"(4|four) clause bsd|bsd (4|four) clause|original bsd"),
     ("0bsd", "0bsd", NAME, r"0bsd( licen[sc]e)?"),

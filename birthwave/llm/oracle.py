@@ -85,6 +85,7 @@ FROM run
 
 
 def _op10() -> str:
+    """Every rule is tried on every text: the keyword gate has to lose nothing."""
     table = ", ".join(
         f"({i}, '{s.label}', '{s.keyword}', {s.priority}, '\\b(?:{s.pattern})\\b')" for i, s in enumerate(signatures())
     )
@@ -107,7 +108,7 @@ d AS (
   FROM spot WHERE label IS NOT NULL GROUP BY r
 ), hit AS (
   SELECT r, rule, label, priority, string_split_regex(shown, pattern) AS gaps, regexp_extract_all(shown, pattern) AS found
-  FROM w, sig WHERE list_contains(ws, keyword) AND regexp_matches(shown, pattern)
+  FROM w, sig WHERE regexp_matches(shown, pattern)
 ), span AS (
   SELECT r, rule, label, priority,
     list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS start,

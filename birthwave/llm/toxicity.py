@@ -5,7 +5,7 @@ words of a text and the probabilities of the categories before it. In training
 these are out-of-fold probabilities, so a later model sees what it will get.
 
 The models are fitted on at most ``SAMPLE`` labelled documents, chosen by a hash
-of the id, and use the ``FEATURES`` words that tell the categories apart best;
+of the id among those that the table has, and use the ``FEATURES`` words that tell the categories apart best;
 only these bounded tables reach the driver. Word counts of the sample are a
 Spark aggregation, and all documents are scored in the tasks that read them.
 
@@ -14,8 +14,8 @@ document is of a kind if it has a word of the kind's list.
 
 Defined results: a null or empty text has no words and gets the models'
 intercepts; labels that are null count as 0 and labels of unknown ids are not
-used; of several labels of an id the highest counts, of several texts each
-counts; without labelled documents all probabilities are 0; each input row gives
+used; of several labels of an id the highest counts, of several texts the
+least; without labelled documents all probabilities are 0; each input row gives
 one output row; an input column named like an output is replaced.
 """
 
@@ -153,10 +153,12 @@ def fit(
 ) -> Chain:
     """Fit the chain on at most ``sample`` labelled documents."""
     marked = labels.filter(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(F.coalesce(F.col(label), F.lit(0))).alias("_y"))
-    chosen = stage(marked.orderBy(F.xxhash64("_id"), "_id").limit(sample), "toxicity-sample")
-    rows = carry(docs, text, doc_id).select(F.col(f"_{doc_id}").alias("_doc"), F.col(f"_{text}").alias("_text"))
-    rows = rows.join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))  # at most ``sample`` rows
-    kinds = seeded(F.coalesce("_text", F.lit("")), F.col("_y"))
+    rows = carry(docs, text, doc_id).select(F.col(f"_{doc_id}").alias("_doc"), F.coalesce(f"_{text}", F.lit("")).alias("_text"))
+    there = marked.join(rows.select("_doc"), F.col("_id") == F.col("_doc"), "left_semi")
+    chosen = stage(there.orderBy(F.xxhash64("_id"), "_id").limit(sample), "toxicity-sample")
+    # At most ``sample`` rows; of an id with several texts the least is kept.
+    rows = rows.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).groupBy("_id", "_y").agg(F.min("_text").alias("_text"))
+    kinds = seeded(F.col("_text"), F.col("_y"))
     rows = rows.select("_id", "_text", *(v.cast("int").alias(k) for k, v in kinds.items()))
     names = list(kinds)
 
