@@ -31,8 +31,10 @@ _NU_FLOOR = 1e-4
 _BLOCKS = ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))
 _STATE = (
     "no bigint, boot int, coef array<double>, trial array<double>, grad array<double>, curve array<double>, "
-    "radius double, size double, promised double, slope double, loglik double, cycles int, status string"
+    "radius double, size double, promised double, slope double, loglik double, floor double, cycles int, status string"
 )
+# A fit whose scale falls below this share of the stratum's own at some row goes through single points: its likelihood has no bound.
+_COLLAPSED = 1e-3
 # Rows times replicates that one part of the rows stands for, at least.
 _PART_WORK = 50_000_000
 # Centile values that are expanded together.
@@ -99,13 +101,15 @@ def score_columns(rows: DataFrame, y: str, terms: list[str], mu_link: str = "ide
     return rows
 
 
-def score_sums(scored: DataFrame, by: list[str], weight: str, terms: list[str]) -> DataFrame:
-    """One aggregation: log-likelihood, gradient and information sums per key."""
+def score_sums(scored: DataFrame, by: list[str], weight: str, terms: list[str], least: bool = False) -> DataFrame:
+    """One aggregation: log-likelihood, gradient and information sums per key, on request with the least log scale."""
     design = ["", *[f" * {t}" for t in terms]]
     p = len(design)
     columns = ["ll", "g0", "g1", "g2", *[f"i{b}{c}" for b, c in _BLOCKS]]
-    rows = scored.selectExpr(*by, *terms, f"{weight} AS _kw", *[f"({weight}) * {c} AS {c}" for c in columns])
+    rows = scored.selectExpr(*by, *terms, "es AS _es", f"{weight} AS _kw", *[f"({weight}) * {c} AS {c}" for c in columns])
     sums = ["count(1) AS n", "sum(_kw) AS sum_w", "sum(ll) AS loglik"]
+    if least:
+        sums.append("min(_es) AS low_es")
     for b in range(3):
         sums += [f"sum(g{b}{design[i]}) AS g{b}_{i}" for i in range(p)]
     for b, c in _BLOCKS:
@@ -161,7 +165,8 @@ def _advance(p: int, tol: float, max_passes: int):
     The ratio of the gain to what the quadratic model promised decides whether
     the trial is accepted and how far the model is trusted next. A key has
     converged when a whole step promises less than half of ``tol``; that step is
-    still taken.
+    still taken. It is given up where it cannot converge: with no more rows than
+    coefficients, or once its scale has collapsed at some row.
     """
 
     def one(row) -> tuple:
@@ -170,10 +175,12 @@ def _advance(p: int, tol: float, max_passes: int):
         radius, size, promised, slope = row.radius, row.size, row.promised, row.slope
 
         def state(status):
-            return row.no, row.boot, coef, trial, grad, curve, radius, size, promised, slope, old, cycles, status
+            return row.no, row.boot, coef, trial, grad, curve, radius, size, promised, slope, old, row.floor, cycles, status
 
         if row.n is None or np.isnan(row.n):
             return state("empty")
+        if row.n <= 3 * p:
+            return state("few rows")
         new, first = row.new_loglik, np.isnan(old)
         g, info = _gradient_and_information(row, p)
         known = bool(np.isfinite(new) and np.isfinite(g).all() and np.isfinite(info).all())
@@ -192,6 +199,8 @@ def _advance(p: int, tol: float, max_passes: int):
                 radius = 2 * radius
         if accepted:
             coef, old, grad, curve = trial, new, g, info.ravel()
+            if row.low_es < row.floor:
+                return state("collapsed")
         step, promised, size = trust_step(curve.reshape(3 * p, 3 * p), grad, radius)
         slope, trial = float(grad @ step), coef + step
         if promised < 0.5 * tol and size < radius:
@@ -236,7 +245,7 @@ def _iterate(
         else:
             rows = base.withColumns({"boot": F.lit(0), "k": F.lit(1)})
         rows = rows.withColumn("key", _key()).join(point, "key")
-        sums = score_sums(score_columns(rows, "_y", terms, mu_link), ["key"], "k * _w", terms)
+        sums = score_sums(score_columns(rows, "_y", terms, mu_link), ["key"], "k * _w", terms, least=True)
         sums = sums.withColumnRenamed("loglik", "new_loglik")
         joined = running.withColumn("key", _key()).join(sums, "key", "left")
         # The solves are spread explicitly: their rows are too few bytes for adaptive execution to do so.
@@ -264,8 +273,8 @@ def fit_lms(
 
     Replicate 0 is the sample itself; the others are Poisson bootstraps that
     start from its solution and so need few passes. ``tol`` is in units of the
-    deviance. Keys that did not converge within ``max_passes`` (a bound that
-    should not bind) stay in the result with ``converged`` false and null
+    deviance. Keys that did not converge, or not within ``max_passes`` (a bound
+    that should not bind), stay in the result with ``converged`` false and null
     coefficients.
     """
     p = len(terms) + 1
@@ -298,10 +307,11 @@ def fit_lms(
         return keys.select(
             "no", "boot", coef.alias("coef"), coef.alias("trial"), none.alias("grad"), none.alias("curve"),
             *[F.lit(0.0).alias(n) for n in ("radius", "size", "promised", "slope")],
-            F.lit(float("nan")).alias("loglik"), F.lit(0).alias("cycles"), F.lit("run").alias("status"),
+            F.lit(float("nan")).alias("loglik"), "floor", F.lit(0).alias("cycles"), F.lit("run").alias("status"),
         )
 
-    state = fresh(strata.withColumn("boot", F.lit(0)), start)
+    floor = F.log(F.greatest(F.coalesce("_cv", F.lit(0.0)), F.lit(1e-12)) * _COLLAPSED)
+    state = fresh(strata.withColumns({"boot": F.lit(0), "floor": floor}), start)
     state = _iterate(base, state, terms, mu_link, tol, max_passes, False, seed)
     if reps:
         again = state.drop("boot").withColumn("boot", F.explode(F.sequence(F.lit(1), F.lit(reps))))

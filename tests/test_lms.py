@@ -128,7 +128,7 @@ def _sums(c, x, y, w):
             "11": 2 * z * z + h * t * r, "12": h * t * r / v - 2 * z * q,
             "22": q * q + z * (u * lg * lg / s - 2 * q) / v + h * t * (1 + r) / v**2,
         }
-        out = {"n": len(y), "sum_w": w.sum(), "new_loglik": float(loglik)}
+        out = {"n": len(y), "sum_w": w.sum(), "new_loglik": float(loglik), "low_es": float((x @ c[p : 2 * p]).min())}
         out |= {f"g{b}_{i}": float((w * g[b]) @ x[:, i]) for b in range(3) for i in range(p)}
         return out | {f"i{k}_{i}_{j}": float((w * e * x[:, i]) @ x[:, j]) for k, e in info.items() for i in range(p) for j in range(i, p)}
 
@@ -138,7 +138,7 @@ def _settle(x, y, w, start):
     p = x.shape[1]
     advance = lms._advance(p, 1e-3, 100)
     state = dict(no=0, boot=0, coef=start, trial=start, grad=[], curve=[], radius=0.0, size=0.0, promised=0.0, slope=0.0,
-                 loglik=float("nan"), cycles=0, status="run")
+                 loglik=float("nan"), floor=float(np.log(1e-3 * y.std() / y.mean())), cycles=0, status="run")
     while state["status"] == "run":
         row = state | _sums(np.asarray(state["trial"]), x, y, w)
         state = next(advance([pd.DataFrame([row])])).iloc[0].to_dict()
@@ -167,6 +167,15 @@ def test_replicates_of_the_survey_settle(spark, analysis):
     assert len(ends) >= 100 and ends.count("converged") >= 0.99 * len(ends), ends
 
 
+def test_fits_that_cannot_converge_are_given_up_early(spark):
+    rng = np.random.default_rng(1)
+    few = pd.DataFrame({"stratum": "few", "x": rng.uniform(size=6), "y": rng.normal(25, 3, 6)})
+    point = pd.DataFrame({"stratum": "point", "x": np.append(np.zeros(1), np.linspace(0.9, 1, 20)), "y": np.append(25.0, rng.normal(27, 3, 20))})
+    d = pd.concat([few, point], ignore_index=True).assign(w=1.0, row_id=range(27))
+    got = {r["stratum"]: (r["converged"], r["cycles"]) for r in lms.fit_lms(spark.createDataFrame(d), "y", ["x"], "w", ["stratum"], "row_id").collect()}
+    assert got["few"] == (False, 1) and not got["point"][0] and got["point"][1] < 60
+
+
 def test_curves_count_used_and_failed_replicates(spark):
     rows = [("a", 0, 25.0), ("a", 1, 26.0), ("a", 2, None), ("a", 3, 24.0), ("b", 0, 25.0)]
     params = spark.createDataFrame(rows, "g string, boot int, mu double").withColumns({"sigma": F.lit(0.1), "nu": F.lit(-0.5)})
