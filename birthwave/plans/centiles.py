@@ -37,13 +37,14 @@ def _fit(rows: DataFrame, x: str, df_terms: int, reps: int, seed: int) -> tuple[
     return coef, lms_parameters(coef, grid, BY, x, {t: t for t in terms})
 
 
-def fit_certificate(rows: DataFrame, x: str, df_terms: int) -> DataFrame:
-    """Point fits judged by a scoring pass at their solutions.
+def fit_certificate(rows: DataFrame, x: str, df_terms: int, least: int = 100) -> DataFrame:
+    """Point fits of strata with ``least`` rows or more, judged by a scoring pass at their solutions.
 
     ``slope`` is the largest score of a coefficient in units of its standard
     error, ``concave`` whether every coefficient's own information is positive.
     """
-    rows, terms = _splined(rows, x, df_terms)
+    large = rows.groupBy(*BY).count().where(F.col("count") >= least).select(*BY)
+    rows, terms = _splined(join_summary(rows, large, BY, "left_semi"), x, df_terms)
     coef = fit_lms(rows, "bmi", terms, "w", BY, "row_id")
     names = ["(Intercept)", *terms]
     p = len(names)

@@ -639,7 +639,7 @@ def lms_fit_certificate(spark: SparkSession, sf: str) -> DataFrame:
         centiles.fit_certificate(centiles.cohort_strata(clean, P), "age", 2).withColumn("over", F.lit("age")),
         centiles.fit_certificate(centiles.age_band_strata(clean, P), "year", 3).withColumn("over", F.lit("year")),
     ]
-    return parts[0].unionByName(parts[1]).where("n >= 100").withColumn("slope", F.round("slope", 1))
+    return parts[0].unionByName(parts[1]).withColumn("slope", F.round("slope", 1))
 
 
 def lms_fit_parameters(spark: SparkSession, sf: str) -> DataFrame:
