@@ -45,7 +45,7 @@ THRESHOLD = 0.9
 BLOCK = 1024
 PART = 8192  # vectors of a long run that one side of a task holds
 BITS = 48  # hyperplanes of a hash
-MISSED = 0.005  # wanted probability of missing a pair at the threshold
+MISSED = 0.001  # wanted probability of missing a pair at the threshold; all pairs of a dense group share the luck of the hyperplanes
 CHUNK = 256
 TASKS = "array<struct<run:int,low:int,high:int,part:int>>"
 
