@@ -88,16 +88,16 @@ def pmm(df: DataFrame, by: list[str], yhat: str, y: str, row_id: str, donors: in
     equal distance a donor at or below comes first, then the closer position.
     A recipient without a prediction or without any donor gets null.
     """
-    slim = df.select(*by, F.col(yhat).alias("_p"), F.col(y).isNull().cast("int").alias("_miss"), row_id, y)
+    miss = F.col(y).isNull().cast("int")
+    slim = df.select(*by, F.col(yhat).alias("_p"), miss.alias("_miss"), (1 - miss).alias("_donor"), row_id, y)
     lost = slim.where("_miss = 1").select(*by, row_id)
-    ordered = range_ordered(slim.where("_p is not null"), by, ["_p", "_miss", row_id], "pmm")
-    per_part = ordered.groupBy(*by, "_part").agg(F.sum(1 - F.col("_miss")).alias("_d"))
+    ordered = range_ordered(slim.where("_p is not null"), by, ["_p", "_miss", row_id], "pmm", counted="_donor")
+    # Donors are counted while the sorted parts are written; a group starts in a part after ``_first`` donors of others.
+    per_part = ordered.groupBy(*by, "_part").agg(F.sum("_donor").alias("_d"), F.min(F.col("_run") - F.col("_donor")).alias("_first"))
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_part.select(*by, "_part", F.coalesce(F.sum("_d").over(earlier), F.lit(0)).alias("_before"))
-    within = Window.partitionBy(*by, "_part").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = ordered.withColumn("_seen", F.sum(1 - F.col("_miss")).over(within))
-    rows = join_summary(rows, offsets, [*by, "_part"], "inner")
-    rows = rows.withColumn("_r", F.col("_seen") + F.col("_before"))
+    offsets = per_part.select(*by, "_part", (F.coalesce(F.sum("_d").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    rows = join_summary(ordered, offsets, [*by, "_part"], "inner")
+    rows = rows.withColumn("_r", F.col("_run") + F.col("_shift"))
     pool = rows.where("_miss = 0").select(*by, F.col("_r").alias("_at"), F.col("_p").alias("_q"), F.col(y).alias("_y"))
     wanted = rows.where("_miss = 1").select(*by, row_id, "_p", "_r").withColumn(
         "_at", F.explode(F.sequence(F.col("_r") - (donors - 1), F.col("_r") + donors))

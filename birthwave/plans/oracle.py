@@ -183,11 +183,20 @@ BOOT = COHORT + ", br AS (SELECT stratum, row_id, bmi, wt_int FROM st)"
 
 def exact(reps: int) -> str:
     return BOOT + f""", rk AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY row_id) AS idx, count(*) OVER (PARTITION BY stratum) AS n FROM br),
-sz AS (SELECT stratum, count(*) AS n FROM br GROUP BY stratum),
-dr AS (SELECT stratum, n, boot, unnest(range(1, n + 1)) AS d FROM sz, (SELECT unnest(range(1, {reps + 1})) AS boot)),
-ct AS (SELECT stratum, boot, 1 + floor({uniform('exact', "'1'", 'stratum', 'boot', 'd')} * n)::BIGINT AS idx, count(*)::INT AS k FROM dr GROUP BY ALL),
+hx AS (SELECT *, {_hash('exact', "'1'", 'stratum', 'row_id', 'block')} AS h FROM rk, (SELECT unnest(range({reps // 4 + 1})) AS block)),
+pk AS (SELECT stratum, row_id, bmi, wt_int, idx, n, block * 4 + word + 1 AS boot,
+         {poisson(f"((('0x' || substr(h, 1 + 8 * word, 8))::BIGINT + 0.5e0) / {float(16**8)!r})")} AS k
+       FROM hx, (SELECT unnest(range(4)) AS word) WHERE block * 4 + word < {reps}),
+gp AS (SELECT stratum, boot, n, (n - sum(k))::BIGINT AS gap FROM pk GROUP BY stratum, boot, n),
+dr AS (SELECT *, unnest(range(1, 1 + CASE WHEN gap > 0 THEN gap WHEN gap < 0 THEN 14 * (40 - 2 * gap) ELSE 0 END)) AS d FROM gp),
+du AS (SELECT *, {uniform('fill', "'1'", 'stratum', 'boot', 'd')} AS u FROM dr),
+nm AS (SELECT stratum, boot, gap, floor(u * (n * 14))::BIGINT AS unit, min(d) AS d FROM du WHERE gap < 0 GROUP BY ALL),
+od AS (SELECT nm.*, pk.idx, row_number() OVER (PARTITION BY nm.stratum, nm.boot ORDER BY nm.d) AS o FROM nm
+       JOIN pk ON pk.stratum = nm.stratum AND pk.boot = nm.boot AND pk.idx = nm.unit // 14 + 1 WHERE nm.unit % 14 < pk.k),
+ct AS (SELECT stratum, boot, 1 + floor(u * n)::BIGINT AS idx, count(*) AS more FROM du WHERE gap > 0 GROUP BY ALL
+       UNION ALL SELECT stratum, boot, idx, -count(*) FROM od WHERE o <= -gap GROUP BY ALL),
 bo AS (SELECT stratum, 0 AS boot, row_id, bmi, wt_int, 1 AS k FROM br
-       UNION ALL SELECT stratum, boot, row_id, bmi, wt_int, k FROM rk JOIN ct USING (stratum, idx))"""
+       UNION ALL SELECT stratum, boot, row_id, bmi, wt_int, (k + coalesce(more, 0))::INT AS k FROM pk LEFT JOIN ct USING (stratum, boot, idx) WHERE k + coalesce(more, 0) > 0)"""
 
 
 POISSON = BOOT + f""", hx AS (SELECT *, {_hash('poisson', "'1'", 'stratum', 'row_id', 'block')} AS h FROM br, (SELECT unnest(range(50)) AS block)),

@@ -95,3 +95,20 @@ def test_draws_do_not_depend_on_partitions(spark):
         sorted(map(tuple, resample.poisson_bootstrap(rows.repartition(n), ["s"], "row_id", 5).collect())) for n in (1, 9)
     )
     assert one == many
+
+
+def test_exact_bootstrap_keeps_the_size(spark):
+    """Each replicate has its stratum's size, strata of one row included, under any partitioning, and multinomial moments."""
+    rows = spark.range(161).selectExpr("id as row_id", "if(id = 160, 'one', if(id < 3, 'few', 'many')) as s", "id as y")
+    boots = [resample.exact_bootstrap(rows.repartition(n), ["s"], "row_id", 400, 5).toPandas() for n in (1, 7)]
+    assert sorted(boots[0].itertuples(index=False)) == sorted(boots[1].itertuples(index=False))
+    boot = boots[0]
+    assert boot.k.min() == 1 and not boot.duplicated(["s", "row_id", "boot"]).any()
+    sums = boot.groupby(["s", "boot"]).k.sum().unstack()
+    assert sums.shape == (3, 401) and all((sums.loc[s] == n).all() for s, n in (("one", 1), ("few", 3), ("many", 157)))
+    few = boot[(boot.s == "few") & (boot.boot > 0)].pivot(index="boot", columns="row_id", values="k").fillna(0)
+    # All three draws on one row: 1/27 for each row; mean 1, variance 2/3, covariance -1/3.
+    assert abs((few == 3).mean().mean() - 1 / 27) < 0.02 and abs(few.mean() - 1).max() < 0.15
+    assert abs(few.cov().to_numpy() - (np.eye(3) - 1 / 3)).max() < 0.12
+    many = boot[(boot.s == "many") & (boot.boot > 0)].pivot(index="boot", columns="row_id", values="k").fillna(0)
+    assert abs(many.var().mean() - (1 - 1 / 157)) < 0.03
