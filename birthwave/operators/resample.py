@@ -73,7 +73,9 @@ def exact_bootstrap(df: DataFrame, by: list[str], row_id: str, reps: int, seed:
     if reps < 1:
         return sample
     blocks = F.sequence(F.lit(0), replicate_block(F.lit(reps)))
-    ranked = global_rank(df, by, [row_id], "_idx")
+    # Rows meet all replicates here, so they are spread by number and not by size; totals, names and changes share this order.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranked = global_rank(df, by, [row_id], "_idx").repartition(parts, *by, "_idx")
     slim = ranked.select(*by, row_id, "_idx")
     changes = _size_changes(slim, by, row_id, reps, blocks, seed)
     entry = F.struct("boot", "_d")
@@ -91,6 +93,7 @@ def _size_changes(slim: DataFrame, by: list[str], row_id: str, reps: int, blocks
     names. The series is so long that it falls short with a chance below 1e-9.
     """
     units = len(draws.poisson_steps())
+    parts = int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     totals = poisson_draws(slim, by, row_id, blocks, seed, "exact").groupBy(*by, "boot").agg(F.sum("k").alias("_s"))
     sizes = slim.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     gaps = sizes.withColumn("boot", F.explode(F.sequence(F.lit(1), F.lit(reps)))).join(totals, [*by, "boot"], "left")
@@ -102,14 +105,14 @@ def _size_changes(slim: DataFrame, by: list[str], row_id: str, reps: int, blocks
     )
     first = F.col("_chunk") * _DRAWS_PER_CHUNK + 1
     numbers = F.sequence(first, F.least(F.col("_many"), first + (_DRAWS_PER_CHUNK - 1)))
-    chunks = chunks.repartition(*by, "boot", "_chunk").withColumn("_draw", F.explode(numbers))
+    chunks = chunks.repartition(parts, *by, "boot", "_chunk").withColumn("_draw", F.explode(numbers))
     u = draws.uniform("fill", F.lit(seed), *by, "boot", "_draw")
     named = chunks.withColumn("_name", F.floor(u * (F.col("_n") * F.when(surplus, units).otherwise(1))).cast("bigint"))
     added = named.where(~surplus).withColumn("_idx", F.col("_name") + 1).groupBy(*by, "boot", "_idx").agg(F.count(F.lit(1)).cast("int").alias("_d"))
-    names = named.where(surplus).groupBy(*by, F.col("boot").alias("_want"), "_gap", "_name").agg(F.min("_draw").alias("_draw"))
-    names = names.withColumns({"_idx": F.floor(F.col("_name") / units) + 1, "_unit": F.col("_name") % units})
-    there = poisson_draws(names.join(slim, [*by, "_idx"]), by, row_id, F.array(replicate_block(F.col("_want")).cast("int")), seed, "exact")
-    there = there.where("boot = _want and _unit < k")
+    names = named.where(surplus).withColumns({"_idx": F.floor(F.col("_name") / units) + 1, "_unit": F.col("_name") % units})
+    names = names.withColumnRenamed("boot", "_want").repartition(parts, *by, "_idx")
+    there = poisson_draws(names.join(slim, [*by, "_idx"]), by, row_id, F.array(replicate_block(F.col("_want"))), seed, "exact")
+    there = there.where("boot = _want and _unit < k").groupBy(*by, "boot", "_gap", "_idx", "_unit").agg(F.min("_draw").alias("_draw"))
     order = F.row_number().over(Window.partitionBy(*by, "boot").orderBy("_draw"))
     removed = there.withColumn("_order", order).where("_order <= -_gap").groupBy(*by, "boot", "_idx").agg((-F.count(F.lit(1))).cast("int").alias("_d"))
     return added.unionByName(removed)

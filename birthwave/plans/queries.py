@@ -374,7 +374,9 @@ def lms_score_pass_cut(spark: SparkSession, sf: str) -> DataFrame:
 
 def _boot_rows(spark: SparkSession, sf: str) -> DataFrame:
     rows = strata.expand_strata(strata.cohort_sample(clean_table(spark, sf), P))
-    return stage(rows.select("stratum", "row_id", "bmi", "wt_int"), "boot-rows")
+    # Each row meets all replicates, so the rows are spread by number and not by size.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return stage(rows.select("stratum", "row_id", "bmi", "wt_int").repartition(parts, "stratum", "row_id"), "boot-rows")
 
 
 def bootstrap_counts(spark: SparkSession, sf: str) -> DataFrame:
