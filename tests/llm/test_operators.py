@@ -174,6 +174,23 @@ def test_suffix(docs, given):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_suffix_other_tails(spark):
+    """One head of 100 bytes, tails whose short digests were equal: no 200 bytes are."""
+    head = "Item 7790 of the list: lantern cloud canyon harbour canyon cloud lantern harbour lantern cloud canyo"
+    tails = [
+        "0210700 meadow canyon velvet canyon meadow canyon velvet canyon meadow canyon velvet canyon meadow c",
+        "0266406 orchard ember orchard thunder amber ember amber thunder orchard ember orchard thunder amber ",
+        "0040768 river copper velvet copper river marble velvet marble river copper velvet copper river marbl",
+        "0156391 stone stone copper marble silver silver marble copper stone stone copper marble silver silve",
+        "0344145 harbour lantern silver river thunder orchard marble meadow ember canyon stone willow cloud a",
+        "0369757 thunder velvet copper lantern ember river silver orchard cloud meadow marble canyon harbour ",
+    ]
+    made = [head + t for t in tails] + [head + tails[0] + "!", "?" + head + tails[4]]
+    rows = suffix.dedup(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string"), block_bytes=500).collect()
+    want = [(i, len(t), 200 * (i in (0, 4, 6, 7)), int(i in (0, 4, 6, 7)), {0: "", 4: "", 6: "!", 7: "?"}.get(i, t).encode()) for i, t in enumerate(made)]
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in rows) == want
+
+
 def brute_fingerprint(text, shingle):
     ws = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text).encode().split()
     parts = [b" ".join(ws[i : i + shingle]) for i in range(max(1, len(ws) - shingle + 1))] if ws else []
