@@ -71,7 +71,8 @@ class Ranking:
     threshold: float
 
     def strengths(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.middle) / self.scale, -CLIP, CLIP) @ self.weights
+        # Row by row: a matrix product rounds a row by its place in the batch.
+        return (np.clip((x - self.middle) / self.scale, -CLIP, CLIP) * self.weights).sum(axis=1)
 
     def predict(self, texts: list[str | None]) -> np.ndarray:
         """Scores between 0 and 1, ``CUT`` at the threshold."""
